@@ -56,3 +56,8 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def constants(values: list[float]) -> Column:
+    """A constant array of doubles, folded to one literal; far cheaper to analyse than a literal for each value."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import constants, read, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> pattern, group whose length counts, least length; in the order in which kinds are listed
@@ -91,7 +91,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 def ratio(run: Column, table: list[float]) -> Column:
     """Log-likelihood ratio of an ASCII string, linear in its length."""
-    values = F.array(*[F.lit(v) for v in table])
+    values = constants(table)
     codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
     # the fold carries (sum, last code)
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("x"))
