@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import constants, read, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: kind -> pattern, group whose length counts, least length; in the order in which kinds are listed
-BASE = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
+#: kind -> pattern, group whose length counts, least length; in the order in which kinds are listed. Runs of one
+#: class of characters may ask for their least length in the pattern: the same runs match. Assignments may not.
+BASE = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]{16,}", 0, 20), "hex": ("[0-9a-f]{24,}", 0, 24)}
 KINDS = [*BASE, "markov"]
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 MARGIN = 8.0
@@ -125,7 +126,8 @@ def spans(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
     by_start = Window.partitionBy("_row").orderBy("start", "kind")
     is_base = F.col("ok") & (F.col("kind") < len(BASE))
     reach = F.max(F.when(is_base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(is_base, F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.min(F.when(is_base, F.col("start"))).over(backwards)
     clear = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     ends = ends.withColumn("_clear", clear).withColumn("ok", F.col("ok") & ((F.col("kind") < len(BASE)) | F.col("_clear")))
     one = F.when(F.col("ok"), F.struct(F.col("start").cast("long").alias("start"), F.col("kind").alias("kind"), F.col("end").cast("long").alias("end")))
