@@ -117,7 +117,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES
     # A pair in one cell is seen from both ends; one that shares no cell may be seen from one end only.
     ours = (F.col("t") == table) & (F.col("a") != F.col("b")) & ((F.get("home", F.col("t")) != F.col("key")) | (F.col("a") < F.col("b"))) & ~earlier
     close = (F.size("vec") == F.size("vec_b")) & (_dot(F.col("vec"), F.col("vec_b")) / (F.col("norm") * F.col("norm_b")) >= threshold)
-    found = asked.join(index, "key").filter(ours).filter(close)
+    found = asked.hint("merge").join(index, "key").filter(ours).filter(close)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

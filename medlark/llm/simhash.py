@@ -72,7 +72,8 @@ def near_pairs(table: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGME
     for s in range(segments - 1):
         first = first & ((F.col("s") <= s) | (F.bit_count(part(differ, s)) > radius))
     hit = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first
-    return probes.join(index, "key").filter(hit).select("a", "b")
+    # Sizes of exploded tables are underestimated: ask for the join that needs no side in memory.
+    return probes.hint("merge").join(index, "key").filter(hit).select("a", "b")
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
