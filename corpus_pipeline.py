@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from medlark.llm.common import durable, read
+from medlark.llm.language import keep_identified
 from medlark.llm.mixing import mix
+from medlark.llm.packing import pack
 from medlark.llm.secrets import redact, samples, train
 from medlark.llm.simhash import drop_near_duplicates
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
@@ -22,7 +28,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).drop("mix_position")
 
 
-STAGES = [("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, with_ids=False)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("packing", packing)]
+#: SQL has no tokenizer, no XXH64 and no trained model; tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
