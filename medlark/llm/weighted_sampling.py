@@ -51,26 +51,28 @@ def counted_words(text: Column) -> list[tuple[str, Column]]:
     return [("_sorted", F.sort_array(words(text))), ("_starts", F.when(F.size(s) > 0, starts).otherwise(none)), ("_terms", terms)]
 
 
-def signatures(texts: DataFrame, keep: list[str], samples: int = SAMPLES, groups: int = GROUPS) -> DataFrame:
-    """texts(keep..., text); keep identifies a row -> keep, sig (groups * samples ints, -1 where a group is empty)
-    and weights (a long for each group). No exchange when texts are already partitioned by keep."""
+def signatures(texts: DataFrame, keep: list[str], kinds: int = 1, samples: int = SAMPLES, groups: int = GROUPS) -> DataFrame:
+    """texts(keep..., kind, text); keep and kind identify a row -> a row for each keep, with sig_<kind> (groups *
+    samples ints, -1 where a group is empty) and weights_<kind> (a long for each group). No exchange when texts are
+    already partitioned by some of keep."""
     rows = texts
     for name, col in counted_words(text_or_empty()):
         rows = rows.withColumn(name, col)
-    terms = rows.select(*keep, F.explode_outer("_terms").alias("_t")).select(*keep, F.xxhash64("_t.word").alias("_x"), F.col("_t.n").alias("_n"))
+    terms = rows.select(*keep, "kind", F.explode_outer("_terms").alias("_t")).select(*keep, "kind", F.xxhash64("_t.word").alias("_x"), F.col("_t.n").alias("_n"))
     turns = samples // PER_ROW
+    slots = groups * turns
     group = F.pmod("_x", F.lit(groups)).cast("int")
-    drawn = terms.select(*keep, "_x", "_n", F.ln(F.col("_n").cast("double")).alias("_w"), F.explode(F.array(*[F.lit(i) for i in range(turns)])).alias("_turn"))
-    drawn = drawn.withColumn("_slot", F.when(F.col("_n").isNotNull(), group * turns + F.col("_turn")))
+    drawn = terms.select(*keep, "kind", "_x", "_n", F.ln(F.col("_n").cast("double")).alias("_w"), F.explode(F.array(*[F.lit(i) for i in range(turns)])).alias("_turn"))
+    drawn = drawn.withColumn("_slot", F.when(F.col("_n").isNotNull(), F.col("kind") * slots + group * turns + F.col("_turn")))
     seeded = drawn.select(*keep, "_slot", "_n", "_w", *[F.xxhash64("_x", (F.col("_turn") * PER_ROW + j)).alias(f"_x{j}") for j in range(PER_ROW)])
     least = seeded.groupBy(*keep, "_slot").agg(F.sum("_n").alias("_n"), *[F.min(F.when(F.col("_n").isNotNull(), _draws(F.col(f"_x{j}"), F.col("_w")))).alias(f"_m{j}") for j in range(PER_ROW)])
     low = lambda j: F.col(f"_m{j}").bitwiseAND(F.lit(0xFFFF)).cast("int")
     found = least.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct("_slot", F.struct(F.col("_n").alias("n"), F.array(*[low(j) for j in range(PER_ROW)]).alias("s")))))).alias("_map"))
     at = lambda slot: F.try_element_at("_map", slot)
     empty = F.array(*[F.lit(-1) for _ in range(PER_ROW)])
-    sig = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups * turns - 1)), lambda i: F.coalesce(at(i)["s"], empty)))
-    weights = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.coalesce(at(g * turns)["n"], F.lit(0)).cast("long"))
-    return found.select(*keep, sig.alias("sig"), weights.alias("weights"))
+    sig = lambda k: F.flatten(F.transform(F.sequence(F.lit(k * slots), F.lit((k + 1) * slots - 1)), lambda i: F.coalesce(at(i)["s"], empty)))
+    weights = lambda k: F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.coalesce(at(k * slots + g * turns)["n"], F.lit(0)).cast("long"))
+    return found.select(*keep, *[c for k in range(kinds) for c in (sig(k).alias(f"sig_{k}"), weights(k).alias(f"weights_{k}"))])
 
 
 def likeness(sig_a: Column, weights_a: Column, sig_b: Column, weights_b: Column, samples: int = SAMPLES, groups: int = GROUPS) -> Column:
@@ -92,38 +94,52 @@ def as_string(sig: Column, weights: Column) -> Column:
     return F.concat(F.array_join(hexes, ""), F.array_join(F.transform(weights, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), ""))
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """rows(rid, doc_id, n_chars), stored -> rid, n_chars, next_rid, prev_rid, prev_half in the circle of ascending
-    doc_id. Narrow rows only; the single sorted place holds one row a partition."""
-    parts = durable(rows.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid").withColumn("part", F.spark_partition_id()))
-    row = F.struct("doc_id", "rid", "n_chars")
-    edges = parts.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    order = Window.orderBy("part")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    around = edges.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "rid")
-    near = parts.select("part", "rid", "n_chars", F.lead("rid").over(inside).alias("next"), F.lag("rid").over(inside).alias("prev"), F.lag("n_chars").over(inside).alias("prev_n")).join(around, "part")
-    return near.select("rid", "n_chars", F.coalesce("next", "after.rid").alias("next_rid"), F.coalesce("prev", "before.rid").alias("prev_rid"), F.floor(F.coalesce("prev_n", "before.n_chars") / 2).cast("int").alias("prev_half"))
+def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs(rid, doc_id, text) -> the same with bucket, a range of the ascending order of (doc_id, rid), and ghost.
+
+    The first document of each range is also put, as a ghost, into the range before it (that of the first range
+    into the last), so that every document's successor is in its bucket. Ranges come from a narrow pass; their at
+    most `buckets` bounds are broadcast, spread over a grid of doc_id so that a row meets few of them. A rid must be
+    the same at every read of docs, as it is for the row numbers of a stored table."""
+    spark = docs.sparkSession
+    ids = durable(docs.select("rid", "doc_id"))
+    parts = ids.repartitionByRange(buckets, "doc_id", "rid").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.max("doc_id").alias("last"))
+    firsts = sorted(((r.first.doc_id, r.first.rid, r.last) for r in parts.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    if not firsts:
+        firsts = [(None, -1, None)]
+    known = [x for f in firsts for x in (f[0], f[2]) if x is not None]
+    low, high, n = min(known, default=0), max(known, default=0), len(firsts)
+    width = max(1, -(-(high - low + 1) // (4 * n)))
+    cell = lambda x: 0 if x is None else (x - low) // width
+    rows = []
+    for k, (first, rid, _) in enumerate(firsts):
+        end = firsts[k + 1][:2] if k + 1 < n else (None, None)
+        for c in range(cell(first), cell(end[0] if k + 1 < n else high) + 1):
+            rows.append((c, k, (k - 1) % n, first, rid, *end, k + 1 == n))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ranges = F.broadcast(spark.createDataFrame(rows, f"_cell long, bucket int, _before int, _first {kind}, _first_rid long, _end {kind}, _end_rid long, _last boolean"))
+    here = F.struct(F.col("doc_id").alias("i"), F.col("rid").alias("r"))
+    inside = (here >= F.struct(F.col("_first").alias("i"), F.col("_first_rid").alias("r"))) & (F.col("_last") | (here < F.struct(F.col("_end").alias("i"), F.col("_end_rid").alias("r"))))
+    found = docs.withColumn("_cell", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("long")).join(ranges, "_cell").filter(inside)
+    own = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
+    both = F.when(F.col("rid") == F.col("_first_rid"), F.array(own, F.struct(F.col("_before").alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
+    return found.select(*docs.columns, F.explode(both).alias("_at")).select(*docs.columns, "_at.*")
 
 
 def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_or_empty().alias("text"))
-    near = durable(neighbours(durable(docs.select("rid", "doc_id", F.length("text").alias("n_chars")))))
-    whole = docs.join(near, "rid")
-    tails = whole.select(F.col("prev_rid").alias("rid"), F.substring("text", F.lit(1), F.col("prev_half")).alias("tail"))
-    edit = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), F.col("tail"))
-    both = whole.join(tails, "rid").select("rid", "doc_id", "n_chars", "next_rid", "text", edit.alias("edited"))
-    kinds = both.select("rid", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha"), "doc_id", "n_chars", "next_rid"),
-        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha"), F.col("doc_id"), F.col("n_chars"), F.col("next_rid")),
-    )).alias("_")).select("rid", "_.*")
-    sigs = durable(signatures(kinds, ["rid", "kind", "sha", "doc_id", "n_chars", "next_rid"]))
-    own = sigs.filter("kind = 0").drop("kind", "sha")
-    edited = sigs.filter("kind = 1").select("rid", "sha", F.col("sig").alias("e_sig"), F.col("weights").alias("e_weights"))
-    after = own.select(F.col("rid").alias("next_rid"), F.col("sig").alias("n_sig"), F.col("weights").alias("n_weights"))
-    return own.join(edited, "rid").join(after, "next_rid").select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"),
-        as_string(F.col("sig"), F.col("weights")).alias("fingerprint"), as_string(F.col("e_sig"), F.col("e_weights")).alias("edited_fingerprint"),
-        likeness(F.col("sig"), F.col("weights"), F.col("e_sig"), F.col("e_weights")).alias("near_edited"),
-        likeness(F.col("sig"), F.col("weights"), F.col("n_sig"), F.col("n_weights")).alias("near_next"),
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "rid")
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    near = bucketed(docs, buckets).withColumn("_next", F.lead("text").over(order)).withColumn("n_chars", n)
+    near = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("_next", F.lit(1), half))).withColumn("sha", F.sha2("edited", 256))
+    texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))
+    keep = ["bucket", "ghost", "rid", "doc_id", "n_chars", "sha"]
+    sigs = signatures(near.select(*keep, F.explode(texts).alias("_")).filter("not (ghost and _.kind = 1)").select(*keep, "_.*"), keep, kinds=2)
+    sigs = sigs.withColumn("n_sig", F.lead("sig_0").over(order)).withColumn("n_weights", F.lead("weights_0").over(order)).filter("not ghost")
+    own, edited, after = ((F.col(a), F.col(b)) for a, b in (("sig_0", "weights_0"), ("sig_1", "weights_1"), ("n_sig", "n_weights")))
+    return sigs.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), as_string(*own).alias("fingerprint"),
+        as_string(*edited).alias("edited_fingerprint"), likeness(*own, *edited).alias("near_edited"), likeness(*own, *after).alias("near_next"),
     )
