@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import text as _text  # noqa: F401
 from . import timeline as _timeline
 from .base import ORACLE_SQL, QUERIES
 
