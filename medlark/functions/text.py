@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from medlark.operators.evaluation import month_number
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿœæÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŒÆ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyoaAAAAAACEEEEIIIINOOOOOUUUUYOA"
 _SPACES, _SINGLE, _DOUBLE, _DASH = "     ", "‘’‚′", "“”„«»", "‐‑‒–—―"
 
 
@@ -21,7 +21,7 @@ def clean_text(c: Column) -> Column:
 
 
 def unaccent(c: Column) -> Column:
-    """Latin letters without their accents; every character keeps its place."""
+    """Latin letters without their accents, ligatures as their first letter; every character keeps its place."""
     return F.translate(c, _ACCENTED, _PLAIN)
 
 
@@ -32,8 +32,8 @@ def folded(c: Column) -> Column:
 
 def match_form(c: Column) -> Column:
     """folded, with ligatures opened, white space collapsed and trimmed."""
-    opened = F.regexp_replace(F.regexp_replace(folded(c), "œ", "oe"), "æ", "ae")
-    return F.trim(F.regexp_replace(opened, r"\s+", " "))
+    opened = F.regexp_replace(F.regexp_replace(F.lower(c), "œ", "oe"), "æ", "ae")
+    return F.trim(F.regexp_replace(folded(opened), r"\s+", " "))
 
 
 _LONG_FORMS = [
