@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, read, shared_dir
 
-CUT, BLOCK_BYTES = 5, 40 << 20
+CUT, BLOCK_BYTES = 5, 16 << 20
 START, END = " <s>", " </s>"  # no word has a space
 _ANSWER = "block long, kind int, p int, a binary, b binary, n array<long>"
 WORDS, PAIRS, ALPHA, INDEX = 0, 1, 2, 3
