@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import extraction as _extraction  # noqa: F401
+from . import ingest as _ingest  # noqa: F401
 from . import text as _text  # noqa: F401
 from . import timeline as _timeline
 from .base import ORACLE_SQL, QUERIES
