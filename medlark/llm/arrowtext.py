@@ -40,3 +40,16 @@ def hashes(words):
 
     h = xxhash.xxh3_64_intdigest
     return np.fromiter((h(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+
+
+def slices(batch, column: str, limit: int):
+    """Runs of rows of a batch whose texts have at most `limit` bytes together; a longer text is a run of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -31,6 +31,8 @@ TRAIN_ROWS = 4000
 BINS_BITS, MAX_LANGUAGES = 15, 32
 #: Trigrams overlap and words repeat, so a text speaks with this share of its trigrams.
 TEMPER = 0.2
+#: Bytes of text that a worker takes at a time; a trigram needs some 30 bytes of memory.
+AT_ONCE = 4 << 20
 HOST_STRENGTH, DOMAIN_STRENGTH, UNKNOWN = 20.0, 50.0, "und"
 
 
@@ -63,8 +65,10 @@ def _count(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    from .arrowtext import slices
+
     counts: dict = {}
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
         for lang in pc.unique(b.column("lang")).to_pylist():
             bins, _ = _trigrams(b.filter(pc.equal(b.column("lang"), lang)).column("text"))
             counts[lang] = counts.get(lang, 0) + np.bincount(bins, minlength=1 << BINS_BITS)
@@ -76,7 +80,10 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list]
     """labelled(doc_id, text, lang) -> (languages, their log probabilities by bin). Fitted on `rows` rows at most."""
     import numpy as np
 
-    sample = labelled.filter("lang is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").select("text", "lang").limit(rows)
+    known = labelled.filter("lang is not null and text is not null").withColumn("_row", F.monotonically_increasing_id())
+    # The choice is made on narrow rows; at most `rows` numbers are broadcast to fetch the texts.
+    chosen = F.broadcast(durable(known.select("_row", F.xxhash64("doc_id").alias("_h"), "doc_id", "lang").orderBy("_h", "doc_id", "lang").limit(rows).select("_row")))
+    sample = known.join(chosen, "_row", "left_semi").select("text", "lang")
     counts: dict = {}
     for r in sample.repartition(4).mapInArrow(_count, "lang string, n array<long>").collect():  # 4 tasks, MAX_LANGUAGES or so rows each
         counts[r.lang] = counts.get(r.lang, 0) + np.array(r.n, dtype=np.float64)
@@ -92,10 +99,10 @@ def likelihoods(tables: list) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        from .arrowtext import sums
+        from .arrowtext import slices, sums
 
         flat = -math.log(1 << BINS_BITS)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
             bins, sizes = _trigrams(b.column("text"))
             ll = np.stack([*[sums(t[bins].astype(np.float64), sizes) for t in tables], sizes * flat], axis=1)
             names = [n for n in b.schema.names if n != "text"]

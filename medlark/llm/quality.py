@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import durable, read
 
 TRAIN_ROWS, BITS, EPOCHS, RATE, DECAY = 6000, 16, 300, 1.0, 1e-4
+#: Bytes of text that a worker takes at a time.
+AT_ONCE = 12 << 20
 #: A document is dropped only if scorer and labellers together make it this unlikely to be good.
 KEEP = 0.5
 LABELLERS = ("signs", "words", "word_length", "capitals", "separators", "lines", "sentences", "function_words")
@@ -77,7 +79,9 @@ def votes(f):
 def _vote(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    from .arrowtext import slices
+
+    for b in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), pa.array(votes(features(b.column("text"))) if b.num_rows else [], type=pa.string())], names=["doc_id", "_row", "votes"])
 
 
@@ -179,9 +183,9 @@ def scorer(weights, bias: float) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        from .arrowtext import folded, sums
+        from .arrowtext import folded, slices, sums
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
             texts = b.column("text")
             words, code, sizes = folded(texts, lower=False)
             one, two = _bins(words)
