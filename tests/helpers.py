@@ -12,7 +12,8 @@ def oracle(sf_dir: str, sql: str):
     c = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+        if os.path.exists(path):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     r = c.execute(sql)
     return [d[0] for d in r.description], r.fetchall()
 
