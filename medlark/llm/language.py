@@ -136,7 +136,7 @@ def identify(rows: DataFrame, languages: list[str], tables: list) -> DataFrame:
     narrow = rows.select(*keys, "host", F.when(domain == "", F.col("host")).otherwise(domain).alias("domain"), said("declared").alias("declared"), said("suffix").alias("suffix"), F.coalesce("text", F.lit("")).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text") + ", ll array<double>"
     coded = narrow.mapInArrow(likelihoods(tables), schema)
-    prior = constants([math.log(0.98 / len(languages))] * len(languages) + [math.log(0.02)])
+    prior = constants([math.log(0.98 / max(1, len(languages)))] * len(languages) + [math.log(0.02)])
     text_post = _normal(F.zip_with(F.transform("ll", lambda x: x * TEMPER), prior, lambda a, b: a + b))
     coded = durable(coded.withColumn("p", text_post))
     # Grouped evidence; each is a sum of posteriors by key.

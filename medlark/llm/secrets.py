@@ -32,6 +32,7 @@ KINDS = [*BASE, "markov"]
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 MARGIN = 8.0
 MASK = "[SECRET]"
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _WORDS = (
     "account active address alpha amount analysis application argument array attribute audio backup base batch block body branch browser buffer build "
     "button cache callback camera category channel character client cluster collection column command comment commit component config connection "
@@ -71,7 +72,8 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.concat_ws("_", *w), F.concat(w[0], *[F.initcap(x) for x in w[1:]]), F.concat_ws("-", *w), F.concat(*w), F.concat_ws("/", *w), F.upper(F.concat_ws("_", *w)),
         F.concat(F.concat_ws("_", *w[:3]), F.lit("_"), number), F.concat(*[F.initcap(x) for x in w]), F.concat(F.lit("2024-01-"), number, F.lit("-2023-12-31")),
         F.concat(number, F.lit("00000"), number, F.lit("1234567890")), F.concat(w[0], F.lit("="), number, F.lit("/"), w[1], F.lit("="), w[2]), F.lower(F.concat(w[3], w[0], w[1])),
-        F.repeat(F.element_at(F.array(*[F.lit(c) for c in "=-_+/=-_xaX0"]), (F.pmod(F.col("id"), F.lit(84)) / 7 + 1).cast("int")), F.lit(30)), F.concat(F.repeat(F.lit("="), F.lit(24)), w[0], F.repeat(F.lit("-"), F.lit(24))),
+        F.repeat(F.substring(F.lit(_ALPHABET), (F.pmod(F.xxhash64("id", F.lit("c")), F.lit(len(_ALPHABET))) + 1).cast("int"), F.lit(1)), (F.pmod(F.xxhash64("id", F.lit("r")), F.lit(20)) + 20).cast("int")),
+        F.concat(F.repeat(F.lit("="), F.lit(24)), w[0], F.repeat(F.lit("-"), F.lit(24))),
     ]
     plainly = spark.range(2 * n, numPartitions=1).select(F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int")).alias("text"), F.lit(False).alias("secret"))
     return random.unionByName(plainly)
