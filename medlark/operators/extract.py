@@ -93,7 +93,8 @@ _SIDES = "gauche|droite?|bilaterale?|mediane?"
 def _rules() -> list[Rule]:
     r: list[Rule] = []
     for f, m in _MARKERS.items():
-        r.append(Rule("ihc", f, rf"(?:{m}){_SEP}({_one_of(_LOST, _KEPT, _SEEN)})", spelled=_IHC_SPELLED))
+        seen = _spell({"maintenu": _SEEN}) if f == "ihc_atrx" else ()  # expressed ATRX is retained
+        r.append(Rule("ihc", f, rf"(?:{m}){_SEP}({_one_of(_LOST, _KEPT, _SEEN)})", spelled=seen + tuple(s for s in _IHC_SPELLED if s[0] not in dict(seen))))
         r.append(Rule("ihc", f, rf"(?:{m}){_SEP}((?:score\s+(?:de\s+)?)?<?\s*\d+(?:\s*a\s*\d+)?\s*%?)"))
     for f, g in _GENES.items():
         forms = _one_of(_WILD, _MUTANT, _METHYL, _UNMETHYL)
