@@ -8,6 +8,7 @@ from . import extraction as _extraction  # noqa: F401
 from . import ingest as _ingest  # noqa: F401
 from . import statistics as _statistics  # noqa: F401
 from . import text as _text  # noqa: F401
+from . import training as _training  # noqa: F401
 from . import timeline as _timeline
 from .base import ORACLE_SQL, QUERIES
 
