@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, durable, read, text_or_empty, words
@@ -91,12 +91,15 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without all but the least doc_id of each component; of repeated rows one stays."""
-    found = near_duplicates(durable(fingerprints(docs.select("doc_id", "text"), ["doc_id"])))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").drop("_rank")
+    """docs, a stored table, with one row of each component: that of the least doc_id, null last, then of the least row
+    number. Rows are told apart by their number, so rows without a doc_id and rows that share one are never confused."""
+    prints = durable(fingerprints(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at")), ["doc_id", "_at"]))
+    table = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_at")).alias("first")))
+    roots = components(durable(near_pairs(table.select("fp"))))
+    rooted = table.join(roots, table.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._at").alias("_keep"))
+    numbered = docs.select("*", F.monotonically_increasing_id().alias("_stored_row"))
+    return numbered.join(keep, F.col("_stored_row") == F.col("_keep"), "left_semi").drop("_stored_row")
 
 
 def op6_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:

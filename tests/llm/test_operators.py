@@ -192,6 +192,17 @@ def test_simhash(spark, corpus, rows):
     assert "_row" in kept.columns and len({r.doc_id for r in kept.collect()}) == kept.count() == len(set(seen.values()))
 
 
+def test_near_dedup_keeps_a_row_of_every_component_whatever_the_ids(spark):
+    word = lambda k: " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[(k * 7 + i) % 26]}{k * 31 + i * i}" for i in range(40))
+    rows = [(None, word(k)) for k in range(6)] + [(5, word(10)), (None, word(10)), (5, word(11)), (6, word(11)), (7, word(12)), (7, word(12)), (None, word(0))]
+    docs = simhash.durable(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [*[(None, word(k)) for k in range(6)], (5, word(10)), (5, word(11)), (7, word(12))]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_simhash_pairs_equal_brute_force(spark):
     import random
 
