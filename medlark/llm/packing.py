@@ -6,6 +6,10 @@ into a stored table and counts along its partition; prefix sums over the partiti
 place in the stream; the second cuts documents at window borders and yields a record for each piece. A sequence
 that crosses a partition border needs no special care: its pieces carry the same sequence_id.
 
+The stream follows the stored table, not the scan: Spark hands the splits of files to tasks by size. Every task marks
+where it goes from one split to the next, and splits are ordered by the number in the file's name, the name and the
+place in the file, which is the order in which the table was written.
+
 Tokenization works on distinct pre-tokens: Arrow splits a batch into words and folds equal ones, a regular
 expression splits words as the tokenizer's own pre-tokenizer does, and distinct pre-tokens are encoded many at a
 time - each ends in exactly one end-of-word token, so the joined ids can be cut again. Texts for which any of this
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +33,7 @@ from .common import durable, read
 LENGTH, END_ID = 2048, 1
 #: Distinct pre-tokens that a worker remembers from batch to batch.
 CACHE = 250_000
-#: One row a partition of the encoded table; beyond this many it is joined by shuffle, not broadcast.
+#: One row a split of the table; beyond this many they are joined by shuffle, not broadcast.
 MAX_BROADCAST_PARTS = 1_000_000
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -151,17 +156,23 @@ class WordEncoder:
 
 
 def encoder(path: str, end_id: int) -> Callable:
-    """mapInArrow function: (doc_id, text) -> part, before, doc_id, n, ids (little-endian 16-bit)."""
+    """mapInArrow function: (doc_id, text, file, block) -> part, run, file, block, before, doc_id, n, ids (little-endian
+    16-bit). A run is an unbroken stretch of one split within a task; before counts from the start of the task."""
 
-    def run(batches: Iterator) -> Iterator:
+    def code(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before, run, last = WordEncoder(path), TaskContext.get().partitionId(), 0, 0, None
         for b in batches:
             if not b.num_rows:
                 continue
+            file, block = b.column("file").dictionary_encode(), b.column("block").to_numpy()
+            at, ends = file.indices.to_numpy(), [(file.dictionary[int(file.indices[i].as_py())].as_py(), int(block[i])) for i in (0, -1)]
+            new = np.concatenate([[last is not None and ends[0] != last], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])
+            runs = run + np.cumsum(new)
+            run, last = int(runs[-1]), ends[1]
             ids, n = encode.batch(b.column("text"))
             stops = np.cumsum(n)
             ids = np.insert(ids, stops, np.uint16(end_id))
@@ -169,10 +180,11 @@ def encoder(path: str, end_id: int) -> Callable:
             stops = np.cumsum(n)
             offsets = np.concatenate([[0], stops * 2]).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u2"))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(before + stops - n), b.column("doc_id"), pa.array(n), data], names=["part", "before", "doc_id", "n", "ids"])
+            columns = {"part": pa.array(np.full(len(n), part, dtype=np.int32)), "run": pa.array(runs.astype(np.int32)), "file": b.column("file"), "block": b.column("block"), "before": pa.array(before + stops - n), "doc_id": b.column("doc_id"), "n": pa.array(n), "ids": data}
+            yield pa.RecordBatch.from_pydict(columns)
             before += int(stops[-1])
 
-    return run
+    return code
 
 
 def cutter(length: int, with_ids: bool) -> Callable:
@@ -208,16 +220,29 @@ def cutter(length: int, with_ids: bool) -> Callable:
     return run
 
 
+def in_files(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs with the file and the place in it where their split starts; docs that are not read from
+    files are stored in their order."""
+    try:
+        m = docs.metadataColumn("_metadata")
+        return docs.select("doc_id", "text", m["file_path"].alias("file"), m["file_block_start"].alias("block"))
+    except AnalysisException:
+        return in_files(durable(docs.select("doc_id", "text")))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """docs(doc_id, text) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids): the pieces."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = durable(rows.mapInArrow(encoder(tokenizer or default_tokenizer(), end_id), f"part int, before long, doc_id {kind}, n long, ids binary"))
-    totals = coded.groupBy("part").agg(F.sum("n").alias("n"))
-    starts = durable(totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first")))
+    rows = in_files(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    coded = durable(rows.mapInArrow(encoder(tokenizer or default_tokenizer(), end_id), f"part int, run int, file string, block long, before long, doc_id {kind}, n long, ids binary"))
+    totals = coded.groupBy("part", "run", "file", "block").agg(F.sum("n").alias("n"), F.min("before").alias("least"))
+    # Spark pads the number of a part to five digits only, so names alone do not sort beyond 99999.
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    order = Window.orderBy(number, "file", "block", "part", "run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = durable(totals.select("part", "run", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("least")).alias("first")))
     if starts.count() <= MAX_BROADCAST_PARTS:
         starts = F.broadcast(starts)
-    placed = coded.join(starts, "part").select("doc_id", "n", "ids", (F.col("first") + F.col("before")).alias("place"))
+    placed = coded.join(starts, ["part", "run"]).select("doc_id", "n", "ids", (F.col("first") + F.col("before")).alias("place"))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return placed.mapInArrow(cutter(length, with_ids), schema)
 

@@ -307,6 +307,27 @@ def test_packing(spark, corpus, rows):
         assert at == 2048 or k == max(by)
 
 
+def test_packing_keeps_the_curriculum_over_files(spark):
+    rows = [(i, f"w{i} " * (20 + 60 * (i % 3)), f"s{i % 3}") for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        stored = packing.durable(mixed)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(stored.inputFiles()) > 2
+    want = [r.doc_id for r in mixed.collect()]
+    pieces = packing.pack(stored.drop("mix_position"), with_ids=False, length=64).collect()
+    first = sorted((r.sequence_id, r.offset, r.doc_id) for r in pieces if r.start == 0)
+    assert [i for _, _, i in first] == want
+    place = defaultdict(list)
+    for k, _, i in first:
+        place[i % 3].append(k / first[-1][0])
+    mean = [sum(x) / len(x) for x in (place[0], place[1], place[2])]
+    assert mean[0] < mean[1] < mean[2]
+    assert [r.doc_id for r in sorted(packing.pack(spark.range(50).selectExpr("id as doc_id", "'a b' as text")).filter("start = 0").collect(), key=lambda r: (r.sequence_id, r.offset))] == list(range(50))
+
+
 def test_encoder_equals_tokenizer():
     import random
 
