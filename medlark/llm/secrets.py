@@ -1,8 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Three fixed kinds (assign, access, hex) give the base spans. The method adds kind `markov`: every run of 20 or more
-characters of [A-Za-z0-9+/_=-] that meets no base span is scored by two first-order character models, one of
-random strings and one of ordinary identifiers; the run is a secret when the log-likelihood ratio reaches `MARGIN`.
+characters of [A-Za-z0-9+/_=-] is scored by two first-order character models, one of random strings and one of
+ordinary identifiers. A segment of the run is a secret when its log-likelihood ratio reaches `MARGIN`; two segments
+are apart when what lies between them speaks as much for an ordinary text. Ordinary words before or after a secret
+thus take nothing from it. Between signs like / _ = - a word at either end belongs to the span whole, or not at all if
+the segment holds less than half of it, so no end of a secret is left.
+What base spans leave of a run is scored piece by piece, whatever its length.
 
 The models are trained by a grouped count of character pairs over labelled samples: (text, secret). `samples()`
 makes a labelled set from digests and from a list of ordinary words; callers may pass their own. Pair counts are
@@ -32,6 +36,11 @@ KINDS = [*BASE, "markov"]
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 MARGIN = 8.0
 MASK = "[SECRET]"
+#: Stands for the characters of base spans while the rest of their runs is scored; it belongs to a run and to no secret.
+BLANK = "\ue000"
+LEFT = "[A-Za-z0-9+/_=\ue000-]{20,}"
+#: What redaction scans when base secrets are masked: runs, and pieces of any length beside a mask.
+BESIDE = r"[A-Za-z0-9+/_=-]{20,}|(?<=\[SECRET\])[A-Za-z0-9+/_=-]+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]++(?=\[SECRET\])"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _WORDS = (
     "account active address alpha amount analysis application argument array attribute audio backup base batch block body branch browser buffer build "
@@ -102,36 +111,110 @@ def ratio(run: Column, table: list[float]) -> Column:
     return F.aggregate(F.filter(codes, lambda y: (y > 0) & (y < 128)), start, step, lambda a: a.s)
 
 
-def _matches(kind: int, pattern: str, group: int, least: int, table: list[float] | None) -> tuple[Column, Column]:
-    """The matches of a kind, and for them an array of struct(kind, i, gap, len, ok)."""
+def segments(run: Column, table: list[float]) -> Column:
+    """array of struct(a, b): the parts [a, b) of a string that are secrets, in order; linear in its length.
+
+    The fold takes the sum of ratios from where it last was zero. Once it reached MARGIN, the part up to its maximum is
+    given out as soon as the sum has fallen by MARGIN, or at the end: no other choice of parts has a larger sum of
+    ratios less MARGIN for each part. Characters that are not ASCII end a part.
+    """
+    values, broken = constants(table), F.lit(float("-inf"))
+    zero, none = F.lit(0), F.array().cast("array<struct<a:int,b:int>>")
+    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
+    # the ratio of each character after the one before it; the last of all, which is none, ends every part
+    known = lambda x: (x > 0) & (x < 128)
+    ratios = F.zip_with(codes, F.concat(F.array(zero), codes), lambda y, x: F.when(known(x) & known(y), F.element_at(values, x * 128 + y + 1)).otherwise(broken))
+    start = F.struct(zero.alias("i"), F.lit(0.0).alias("s"), zero.alias("a"), F.lit(0.0).alias("best"), zero.alias("b"), none.alias("o"))
+
+    def step(c: Column, v: Column) -> Column:
+        t, on = c.s + v, c.best >= MARGIN
+        end = F.when(on, c.best - t >= MARGIN).otherwise(t <= 0)
+        return F.struct(
+            (c.i + 1).alias("i"), F.when(end, 0.0).otherwise(t).alias("s"), F.when(end, c.i).otherwise(c.a).alias("a"),
+            F.when(end, 0.0).otherwise(F.greatest(c.best, t)).alias("best"), F.when(~end & (t > c.best), c.i + 1).otherwise(c.b).alias("b"),
+            F.when(end & on, F.concat(c.o, F.array(F.struct(c.a.alias("a"), c.b.alias("b"))))).otherwise(c.o).alias("o"),
+        )
+
+    found = F.aggregate(ratios, start, step, lambda c: c.o)
+    size = lambda text, pattern: F.length(F.regexp_extract(text, pattern, 0))
+    w, sep = "[A-Za-z0-9+]", "[^A-Za-z0-9+]"
+
+    def whole_words(x: Column) -> Column:
+        left, own, right = F.substring(run, F.lit(1), x.a), F.substring(run, x.a + 1, x.b - x.a), F.substring(run, x.b + 1, F.length(run))
+        ahead, behind, head, tail = size(left, f"(?<!{w}){w}*+$"), size(right, f"^{w}*"), size(own, f"^{w}*"), size(own, f"(?<!{w}){w}*+$")
+        a = F.when((head > 0) & (head >= ahead), x.a - ahead).otherwise(x.a + size(own, f"^{w}*{sep}+"))
+        b = F.when((tail > 0) & (tail >= behind), x.b + behind).otherwise(x.b - size(own, f"(?<!{sep}){sep}+{w}*+$"))
+        one = (head == x.b - x.a) | (a >= b)
+        return F.struct(F.when(one, x.a - ahead).otherwise(a).alias("a"), F.when(one, x.b + behind).otherwise(b).alias("b"))
+
+    wide = F.transform(found, whole_words)
+
+    def joined(o: Column, x: Column) -> Column:
+        last = F.get(o, F.size(o) - 1)
+        meet = (F.size(o) > 0) & (last.b > x.a)
+        return F.when(meet, F.concat(F.slice(o, F.lit(1), F.size(o) - 1), F.array(F.struct(last.a.alias("a"), F.greatest(last.b, x.b).alias("b"))))).otherwise(F.concat(o, F.array(x)))
+
+    return F.aggregate(wide, none, joined)
+
+
+def _matches(kind: int, pattern: str, group: int, least: int) -> tuple[Column, Column]:
+    """The matches of a base kind, and for them an array of struct(kind, i, gap, len, ok)."""
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     whole, gaps = F.col(f"_m{kind}"), F.split("text", pattern)
     inner = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
     zipped = F.arrays_zip(whole.alias("m"), inner.alias("v"), F.slice(gaps, 1, F.size(whole)).alias("g"))
-    ok = (lambda x: F.length(x.v) >= least) if table is None else (lambda x: ratio(x.m, table) >= MARGIN)
-    made = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x.g).alias("gap"), F.length(x.m).alias("len"), ok(x).alias("ok")))
+    made = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x.g).alias("gap"), F.length(x.m).alias("len"), (F.length(x.v) >= least).alias("ok")))
     return found, F.when(F.size(whole) > 0, made)
 
 
+def _blanked(kind: int, pattern: str, group: int, least: int) -> Column:
+    """The text with the characters of a base kind's spans replaced by BLANK, one for one."""
+    whole = F.col(f"_m{kind}")
+    inner = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
+    pieces = F.arrays_zip(F.split("text", pattern).alias("g"), whole.alias("m"), inner.alias("v"))
+    clean = F.transform(pieces, lambda x: F.concat(x.g, F.when(x.m.isNull(), F.lit("")).when(F.length(x.v) >= least, F.repeat(F.lit(BLANK), F.length(x.m))).otherwise(x.m)))
+    return F.when(F.size(whole) > 0, F.array_join(clean, "")).otherwise(F.col("text"))
+
+
+def _both(a: Column, b: Column) -> Column:
+    """Blank where either of two blanked forms of the text is."""
+    by_character = F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == BLANK, x).otherwise(y)), "")
+    return F.when(a == F.col("text"), b).when(b == F.col("text"), a).otherwise(by_character)
+
+
+def _markov(kind: int, text: str, table: list[float]) -> Column:
+    """Segments of the runs of a column in which base spans are blank, as an array of struct(kind, i, gap, len, ok):
+    of each run its segments with the gap before each, and its rest."""
+    runs = F.arrays_zip(F.regexp_extract_all(text, F.lit(LEFT), F.lit(0)).alias("m"), F.split(text, LEFT).alias("g"))
+    scored = F.transform(F.filter(runs, lambda x: x.m.isNotNull()), lambda x: F.struct(F.length(x.g).alias("g"), F.length(x.m).alias("n"), segments(x.m, table).alias("o")))
+
+    def row(gap: Column, n: Column, ok: bool) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("i"), gap.alias("gap"), n.alias("len"), F.lit(ok).alias("ok"))
+
+    def parts(x: Column) -> Column:
+        before = lambda i: F.when(i == 0, -x.g).otherwise(F.get(x.o, i - 1).b)
+        rest = F.coalesce(F.get(x.o, F.size(x.o) - 1).b, -x.g)
+        return F.concat(F.transform(x.o, lambda s, i: row(s.a - before(i), s.b - s.a, True)), F.array(row(x.n - rest, F.lit(0), False)))
+
+    return F.transform(F.flatten(F.transform(scored, parts)), lambda y, i: F.struct(y.kind.alias("kind"), i.alias("i"), y.gap.alias("gap"), y.len.alias("len"), y.ok.alias("ok")))
+
+
 def spans(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
     """docs(text, ...) -> keep columns and `spans`, an array of struct(start, kind, end) by start, then kind
-    (its number in KINDS). Base spans all stay; markov spans only where they meet none."""
+    (its number in KINDS). Base spans all stay; markov spans meet none of them."""
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text_or_empty().alias("text"))
-    kinds = [(i, *BASE[k], None) for i, k in enumerate(BASE)] + [(len(BASE), RUN, 0, 20, table)]
+    kinds = [(i, *BASE[k]) for i, k in enumerate(BASE)]
     made = [_matches(*k) for k in kinds]
     rows = rows.withColumns({f"_m{i}": m for i, (m, _) in enumerate(made)})
+    rows = rows.withColumns({f"_b{k[0]}": _blanked(*k) for k in kinds})
+    rows = rows.withColumn("_b", F.col("_b0"))
+    for k in kinds[1:]:
+        rows = rows.withColumn("_b", _both(F.col("_b"), F.col(f"_b{k[0]}")))
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>")
-    each = rows.select(*keep, "_row", F.explode_outer(F.concat(*[F.coalesce(x, none) for _, x in made])).alias("_")).select(*keep, "_row", "_.*").repartition("_row")
+    found = F.concat(*[F.coalesce(x, none) for x in [*[m for _, m in made], _markov(len(BASE), "_b", table)]])
+    each = rows.select(*keep, "_row", F.explode_outer(found).alias("_")).select(*keep, "_row", "_.*").repartition("_row")
     so_far = Window.partitionBy("_row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).withColumn("start", F.col("end") - F.col("len")).withColumn("ok", F.coalesce("ok", F.lit(False)))
-    # Base spans of a kind don't overlap; those of all kinds before a start have ended by `reach`.
-    by_start = Window.partitionBy("_row").orderBy("start", "kind")
-    is_base = F.col("ok") & (F.col("kind") < len(BASE))
-    reach = F.max(F.when(is_base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    backwards = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.min(F.when(is_base, F.col("start"))).over(backwards)
-    clear = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
-    ends = ends.withColumn("_clear", clear).withColumn("ok", F.col("ok") & ((F.col("kind") < len(BASE)) | F.col("_clear")))
     one = F.when(F.col("ok"), F.struct(F.col("start").cast("long").alias("start"), F.col("kind").alias("kind"), F.col("end").cast("long").alias("end")))
     return ends.groupBy(*keep, "_row").agg(F.array_sort(F.collect_list(one)).alias("spans")).drop("_row")
 
@@ -139,15 +222,23 @@ def spans(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
 def redact(docs: DataFrame, table: list[float]) -> DataFrame:
     """docs with every secret in text replaced by MASK; of an assignment only the value goes. Null text stays null."""
     out = docs
-    for k, (pattern, group, least, ratios) in enumerate([*[(*BASE[b], None) for b in BASE], (RUN, 0, 20, table)]):
-        whole = F.col("_m")
+    whole = F.col("_m")
+    for pattern, group, least in BASE.values():
         out = out.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
         inner = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
         pieces = F.arrays_zip(F.split("text", pattern).alias("g"), whole.alias("m"), inner.alias("v"))
-        bad = (lambda x: F.length(x.v) >= least) if ratios is None else (lambda x: ratio(x.m, ratios) >= MARGIN)  # noqa: B023
         head = (lambda x: F.substring(x.m, F.lit(1), F.length(x.m) - F.length(x.v))) if group else (lambda x: F.lit(""))
-        clean = F.transform(pieces, lambda x: F.concat(x.g, F.when(x.m.isNull(), F.lit("")).when(bad(x), F.concat(head(x), F.lit(MASK))).otherwise(x.m)))  # noqa: B023
+        clean = F.transform(pieces, lambda x: F.concat(x.g, F.when(x.m.isNull(), F.lit("")).when(F.length(x.v) >= least, F.concat(head(x), F.lit(MASK))).otherwise(x.m)))  # noqa: B023
         out = out.withColumn("text", F.when(F.size(whole) > 0, F.array_join(clean, "")).otherwise(F.col("text")))
+
+    def masked(x: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(x.o, i - 1).b, F.lit(0))
+        kept = F.transform(x.o, lambda s, i: F.concat(F.substring(x.m, after(i) + 1, s.a - after(i)), F.lit(MASK)))
+        return F.concat(x.g, F.array_join(kept, ""), F.coalesce(F.substring(x.m, after(F.size(x.o)) + 1, F.length(x.m)), F.lit("")))
+
+    out = out.withColumn("_m", F.transform(F.regexp_extract_all("text", F.lit(BESIDE), F.lit(0)), lambda m: F.struct(m.alias("m"), segments(m, table).alias("o"))))
+    pieces = F.transform(F.arrays_zip(F.split("text", BESIDE).alias("g"), whole.alias("r")), lambda x: F.struct(x.g.alias("g"), x.r.m.alias("m"), F.coalesce(x.r.o, F.array().cast("array<struct<a:int,b:int>>")).alias("o")))
+    out = out.withColumn("text", F.when(F.size(whole) > 0, F.array_join(F.transform(pieces, masked), "")).otherwise(F.col("text")))
     return out.select(*docs.columns)
 
 

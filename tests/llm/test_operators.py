@@ -274,6 +274,18 @@ def test_secrets(spark, corpus, rows):
     assert "24be" not in clean[next(i for i, r in enumerate(rows) if r[0] == 29)]
 
 
+def test_a_secret_inside_a_run_is_found_beside_ordinary_words_and_base_spans(spark):
+    token, second, path = "Gk3xZq9LpW2vTn8YbR4cM7sD", "q7JwX2mVz9RtK4bNp8LhC3fY", "configuration/manager/factory/repository/connection/"
+    texts = [path + token, f"x {path}{token}/request/handler/service/template/resource y {second}", f"{token}/{path}{second}", "SERVICE_ACCESS_NAME=" + token, f"AKIA{'A1B2' * 5}/{path}{token}", f"{token}/{path}token=abcdef", path * 4, f"é{path}{token} é"]
+    table = secrets.train(secrets.samples(spark))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in secrets.spans(docs, table, ["doc_id"]).collect()}
+    assert got == {0: [(3, token)], 1: [(3, token), (3, second)], 2: [(3, token), (3, second)], 3: [(3, token)], 4: [(1, f"AKIA{'A1B2' * 5}"), (3, token)], 5: [(3, token), (0, "token=abcdef")], 6: [], 7: [(3, token)]}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, table).collect()}
+    want = [t.replace(token, "[SECRET]").replace(second, "[SECRET]").replace("abcdef", "[SECRET]").replace(f"AKIA{'A1B2' * 5}", "[SECRET]") for t in texts]
+    assert [clean[i] for i in range(len(texts))] == want
+
+
 def test_secret_models_on_held_out_samples(spark):
     from pyspark.sql import functions as F
 
