@@ -1,27 +1,33 @@
-"""LM scoring by a Katz backoff bigram model with Good-Turing discounts.
-
-    P(w | h) = d(c(hw)) c(hw) / c(h)   if hw was seen in training
-             = alpha(h) P(w)           otherwise,        P(w) = d(c(w)) c(w) / N, or the rest for an unknown word
-
-with d(r) the Good-Turing discount for r <= 5 and 1 above. alpha(h) is the mass that discounting leaves to h over
-the mass of P outside the words seen after h, so P(. | h) sums to one exactly; where no count of h is discounted,
-c(h) is raised by one to leave some. A text's first word follows a start symbol; its end is a token.
-
-How it runs. Texts are cut into blocks of bounded size, each with its words folded to local codes (one stored table,
-bucketed by block). Counts travel as arrays: a block sends its distinct words, then the hashes of its distinct
-bigrams, split by hash over `parts` reducers; a reducer sums over blocks and answers each block with an array in
-the order of the question. Counts of counts give the discounts; each distinct bigram is owned by one block, and
-blocks send the sums over owned bigrams by their first word, from which alpha is made and answered. The answers -
-counts and weights of just the block's n-grams - are the partitioned tables, bucketed as the blocks are, so every
-pass joins them without a shuffle, and a token is evaluated by looking up its bigram, then its word.
+"""LM scoring by a Katz backoff model of any order with Good-Turing discounts.
+
+    P_k(w | h) = d_k(c(hw)) c(hw) / c(h)   if hw was seen in training
+               = alpha(h) P_{k-1}(w | h')  otherwise, h' being h without its first word
+    P_1(w)     = d_1(c(w)) c(w) / N, or the rest for an unknown word
+
+with d_k(r) the Good-Turing discount of order k for r <= 5 and 1 above. alpha(h) is the mass that discounting leaves
+to h over the mass of P_{k-1} outside the words seen after h, so P_k(. | h) sums to one exactly; where no count of h
+is discounted, c(h) is raised by one to leave some. A text's first word follows a start symbol, and contexts do not
+reach beyond it; the end of a text is a token.
+
+How it runs. Texts are cut into blocks of bounded bytes, each with its words folded to local codes and their hashes
+(one stored table, bucketed by block). A block numbers its distinct n-grams order by order: an n-gram is the number
+of its context and its last word. It sends the hashes and counts of its distinct n-grams, split by hash over `parts`
+reducers; a reducer sums over blocks and answers each block with an array in the order of the question. Counts of
+counts give the discounts. A distinct n-gram is owned by one block, and blocks send the sums over owned n-grams by
+context, from which alpha is made and answered, one order after the other. The answers - counts and weights of just
+the block's n-grams - are the partitioned tables, bucketed as the blocks are, so that every pass joins them without a
+shuffle, and a token is evaluated by recursion: its longest n-gram, then the weight of its context and the n-gram
+without the first word, down to the word.
 
 All partitioning is by hash of the n-gram, after folding within blocks, so no word or context makes a hot task.
-`parts` grows with the number of blocks; a group holds about as much as a block. Only counts of counts and totals
-reach the driver. N-grams are identified by 64-bit hashes.
+`parts` is the number of blocks that the texts' bytes make, so a reducer's group holds about as much as a block,
+whatever the input; workers hold one block or one group at a time. A block asks every part once, so messages grow with
+the square of the blocks: raise `block_bytes` with the executors' memory. Only counts of counts and totals reach the
+driver. Words and n-grams are identified by 64-bit hashes.
 
 Defined results: null text counts as empty and is one end token; null doc_id is hashed as the empty string; repeated
-rows are separate texts; with no training text every token is unknown, with probability 1; an empty table gives an
-empty result.
+rows are separate texts; a text longer than a block is a block of its own; with no training text every token is
+unknown, with probability 1; an empty table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read, shared_dir
+from .common import read, shared_dir
 
-CUT, BLOCK_BYTES = 5, 16 << 20
+CUT, ORDER, BLOCK_BYTES = 5, 2, 8 << 20
 START, END = " <s>", " </s>"  # no word has a space
-_ANSWER = "block long, kind int, p int, a binary, b binary, n array<long>"
-WORDS, PAIRS, ALPHA, INDEX = 0, 1, 2, 3
+_BLOCK = "block long, ids binary, held binary, sizes binary, codes binary, hashes binary, counts binary"
+_ASK = "k int, p int, block long, a binary, b binary, c binary, d binary"
+_ANSWER = "block long, k int, weight boolean, p int, a binary, b binary, n array<long>"
 
 
 def _pack(a) -> bytes:
@@ -53,206 +60,160 @@ def _unpack(b: bytes, kind):
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
 
 
-def _pack_words(words) -> bytes:
-    import pyarrow as pa
-    import zstandard
-
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([words], names=["w"])
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-
-
-def _unpack_words(b: bytes):
-    import pyarrow as pa
-    import zstandard
-
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all()["w"].combine_chunks()
-
-
 def _split(part, parts: int) -> list:
     """Positions of each part, in order."""
     import numpy as np
 
-    order = np.argsort(part, kind="stable")
+    if parts < 1 << 15:
+        part = part.astype(np.int16)  # sorted by radix
+    order = np.argsort(part, kind="stable").astype(np.uint32)
     return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
 
 
-def _sequence(row: dict):
-    """A block's tokens with a start symbol before each text: (codes, code of the start, text of each token)."""
-    import numpy as np
-
-    codes, sizes, n = _unpack(row["codes"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.int64), row["n_words"]
-    stops = np.cumsum(sizes)
-    whole = np.insert(codes, np.repeat(stops, 2), np.tile([n, n + 1], len(sizes)))  # .. END START ..
-    whole = np.concatenate([[n + 1], whole[:-1]]) if len(sizes) else whole
-    return whole, np.repeat(np.arange(len(sizes)), sizes + 2)
-
-
-def _bigrams(row: dict, hashes, parts: int):
-    """(distinct bigrams as first << 32 | second, ascending; hash of each; positions of each part; bigram codes by
-    token; text of each token; whether it trains)."""
-    import numpy as np
-
-    whole, text = _sequence(row)
-    start = row["n_words"] + 1
-    inner = whole[1:] != start
-    pairs, text = (whole[:-1] << 32 | whole[1:])[inner], text[1:][inner]
-    distinct = np.sort(pairs)
-    distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])] if len(distinct) else distinct
-    with np.errstate(over="ignore"):
-        key = hashes[distinct >> 32] * np.uint64(0x9E3779B97F4A7C15) + hashes[distinct & 0xFFFFFFFF]
-        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(32)
-    return distinct, key, _split((key % np.uint64(parts)).astype(np.int32), parts), pairs, text
-
-
-def _word_hashes(words):
-    from .arrowtext import hashes
+def _table(rows: list[dict], schema: str):
+    import pyarrow as pa
 
-    return hashes(words)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    return pa.Table.from_pylist(rows, schema=pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]))
 
 
 def blocks(limit: int) -> Callable:
-    """mapInArrow function: (doc_id, held_out, text) -> rows of _BLOCK."""
+    """mapInArrow function: (doc_id, held_out, text) -> rows of _BLOCK, of at most `limit` bytes of text or one text."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        from .arrowtext import folded
+        from .arrowtext import folded, hashes
 
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        signs = hashes(pa.array([END, START]))
 
         def made():
             t = pa.Table.from_batches(held).combine_chunks()
-            words, code, sizes = folded(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0))
+            words, code, sizes = folded(t["text"].chunk(0))
             trains = ~t["held_out"].to_numpy()
             counts = np.bincount(code[np.repeat(trains, sizes)], minlength=len(words))
             counts = np.concatenate([counts, [trains.sum(), trains.sum()]]).astype(np.uint32)
-            words = pa.concat_arrays([words, pa.array([END, START], type=words.type)])
             ids = pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks()], names=["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as out:
                 out.write_batch(ids)
-            row = {"block": task << 24 | number, "n_words": len(words) - 2, "ids": sink.getvalue().to_pybytes(), "held": _pack(~trains), "sizes": _pack(sizes), "codes": _pack(code.astype(np.uint32)), "words": _pack_words(words), "counts": _pack(counts)}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("n_words", pa.int64()), *[(k, pa.binary()) for k in ("ids", "held", "sizes", "codes", "words", "counts")]]))
+            arrays = {"held": ~trains, "sizes": sizes, "codes": code.astype(np.uint32), "hashes": np.concatenate([hashes(words), signs]), "counts": counts}
+            row = {"block": task << 24 | number, "ids": sink.getvalue().to_pybytes()} | {k: _pack(v) for k, v in arrays.items()}
+            return _table([row], _BLOCK).to_batches()[0]
 
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                held.append(part)
-                size += part.get_total_buffer_size() if at == 0 and b.num_rows <= 2000 else int(part.column("text").nbytes)
-                if size >= limit:
+            total = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                before = int(total[at - 1]) if at else 0
+                to = int(np.searchsorted(total, before + limit - size, side="right"))
+                if to <= at and not held:  # longer than a block
+                    to = at + 1
+                if to > at:
+                    held.append(b.slice(at, to - at))
+                    size += int(total[to - 1]) - before
+                    at = to
+                if at < b.num_rows or size >= limit:
                     yield made()
                     number, held, size = number + 1, [], 0
-        if held and sum(h.num_rows for h in held):
+        if held:
             yield made()
 
     return run
 
 
-_BLOCK = "block long, n_words long, ids binary, held binary, sizes binary, codes binary, words binary, counts binary"
-_ASK = "p int, block long, a binary, b binary"
-
-
-def _asked(rows: list):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("p", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]))
-
-
-def _answers(rows: list):
-    import pyarrow as pa
-
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.list_(pa.int64()))])
-    return pa.Table.from_pylist(rows, schema=schema)
-
+class Grams:
+    """The distinct n-grams of a block, by order from 1: `key` (hashes), `context` and `word` (numbers of n-grams one
+    order below and of words), `suffix` (the n-gram without its first word), `ids` (by position of the block's token
+    sequence, in which a start symbol goes before each text) and `ok` (positions that end an n-gram of the order)."""
 
-def ask_words(parts: int) -> Callable:
-    def run(batches: Iterator) -> Iterator:
+    def __init__(self, row: dict, order: int):
         import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for row in b.to_pylist():
-                words, counts = _unpack_words(row["words"]), _unpack(row["counts"], np.uint32)
-                part = (_word_hashes(words) % np.uint64(parts)).astype(np.int32)
-                yield _asked([{"p": p, "block": row["block"], "a": _pack_words(words.take(pa.array(at))), "b": _pack(counts[at])} for p, at in enumerate(_split(part, parts)) if len(at)])
-
-    return run
-
-
-def _counts_of_counts(c, cut: int) -> list[int]:
-    import numpy as np
-
-    return [*np.bincount(np.minimum(c, cut + 2), minlength=cut + 3)[1 : cut + 2].tolist(), int(c.sum()), int((c > 0).sum())]
-
-
-def answer_words(cut: int) -> Callable:
-    """Counts of words over all blocks, and each block's positions in the list of the part's distinct words."""
 
-    def run(table):
+        hashes, codes, self.sizes = _unpack(row["hashes"], np.uint64), _unpack(row["codes"], np.uint32), _unpack(row["sizes"], np.int64)
+        end, start = len(hashes) - 2, len(hashes) - 1
+        whole = np.insert(codes, np.repeat(np.cumsum(self.sizes), 2), np.tile(np.array([end, start], dtype=np.uint32), len(self.sizes)))
+        whole = np.concatenate([np.array([start], dtype=np.uint32), whole[:-1]])
+        self.words = whole != start
+        self.key, self.ids, self.ok = [hashes], [whole], [np.ones(len(whole), dtype=bool)]
+        self.context, self.suffix = [None], [None]
+        for _ in range(1, order):
+            ok = np.zeros(len(whole), dtype=bool)
+            ok[1:] = self.ok[-1][:-1] & self.words[1:]
+            at = np.flatnonzero(ok).astype(np.uint32)
+            pair = self.ids[-1][at - 1].astype(np.uint64) << np.uint64(32) | whole[at]
+            by = np.argsort(pair).astype(np.uint32)
+            pair, at = pair[by], at[by]
+            new = np.ones(len(pair), dtype=bool)
+            new[1:] = pair[1:] != pair[:-1]
+            ids = np.zeros(len(whole), dtype=np.uint32)
+            ids[at] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+            pair = pair[new]
+            context = (pair >> np.uint64(32)).astype(np.uint32)
+            with np.errstate(over="ignore"):
+                key = self.key[-1][context] * np.uint64(0x9E3779B97F4A7C15) + hashes[pair & np.uint64(0xFFFFFFFF)]
+                key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                key ^= key >> np.uint64(32)
+            self.suffix.append(self.ids[-1][at[new]])
+            self.context.append(context)
+            self.key.append(key)
+            self.ids.append(ids)
+            self.ok.append(ok)
+
+    def by_part(self, k: int, parts: int) -> list:
         import numpy as np
-        import pyarrow as pa
 
-        rows = table.to_pylist()
-        words, counts = [_unpack_words(r["a"]) for r in rows], [_unpack(r["b"], np.uint32) for r in rows]
-        code = pa.concat_arrays(words).dictionary_encode()
-        index = code.indices.to_numpy()
-        total = np.bincount(index, np.concatenate(counts)).astype(np.int64)
-        real = np.array([w != START for w in code.dictionary.to_pylist()])
-        out, at, n = [], 0, _counts_of_counts(total[real], cut)
-        for r, w in zip(rows, words):
-            mine = index[at : at + len(w)]
-            at += len(w)
-            out.append({"block": r["block"], "kind": WORDS, "p": r["p"], "a": _pack(total[mine]), "b": None, "n": n})
-            out.append({"block": r["block"], "kind": INDEX, "p": r["p"], "a": _pack(mine.astype(np.uint32)), "b": _pack(total) if n else None, "n": None})
-            n = None
-        return _answers(out)
+        return _split((self.key[k - 1] % np.uint64(parts)).astype(np.int32), parts)
 
-    return run
 
+def ask_counts(parts: int, order: int) -> Callable:
+    """A block -> hashes and training counts of its distinct n-grams of every order, for each part."""
 
-def ask_pairs(parts: int) -> Callable:
-    def run(batches: Iterator) -> Iterator:
+    def run(table):
         import numpy as np
 
-        for b in batches:
-            for row in b.to_pylist():
-                distinct, key, at, pairs, text = _bigrams(row, _word_hashes(_unpack_words(row["words"])), parts)
-                trains = ~_unpack(row["held"], bool)
-                counts = np.bincount(np.searchsorted(distinct, pairs[trains[text]]), minlength=len(distinct)).astype(np.uint32)
-                yield _asked([{"p": p, "block": row["block"], "a": key[i].tobytes(), "b": _pack(counts[i])} for p, i in enumerate(at) if len(i)])
+        row = table.to_pylist()[0]
+        g, out = Grams(row, order), []
+        trains = np.repeat(~_unpack(row["held"], bool), g.sizes + 2)
+        for k in range(1, order + 1):
+            counts = _unpack(row["counts"], np.uint32) if k == 1 else np.bincount(g.ids[k - 1][g.ok[k - 1] & trains], minlength=len(g.key[k - 1])).astype(np.uint32)
+            out += [{"k": k, "p": p, "block": row["block"], "a": g.key[k - 1][i].tobytes(), "b": _pack(counts[i])} for p, i in enumerate(g.by_part(k, parts)) if len(i)]
+        return _table(out, _ASK)
 
     return run
 
 
-def answer_pairs(cut: int) -> Callable:
-    """Counts of bigrams over all blocks, and which of them the block owns."""
+def answer_counts(cut: int, start: int) -> Callable:
+    """Counts of n-grams over all blocks, and which of them the block owns. `start`, the hash of the start symbol, is a
+    context only and left out of the counts of counts."""
 
     def run(table):
         import numpy as np
 
-        rows = table.to_pylist()
+        rows = table.select(["k", "p", "block", "a", "b"]).to_pylist()
         keys = [np.frombuffer(r["a"], dtype=np.uint64) for r in rows]
         whole = np.concatenate(keys)
         order = np.argsort(whole, kind="stable")
-        new = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-        group = np.empty(len(whole), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
+        new = np.ones(len(whole), dtype=bool)
+        new[1:] = whole[order[1:]] != whole[order[:-1]]
+        group = np.empty(len(whole), dtype=np.uint32)
+        group[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
         total = np.bincount(group, np.concatenate([_unpack(r["b"], np.uint32) for r in rows])).astype(np.int64)
         owned = np.zeros(len(whole), dtype=bool)
         owned[order[new]] = True
-        out, at, n = [], 0, _counts_of_counts(total, cut)
+        real = total[whole[order[new]] != np.uint64(start)] if rows[0]["k"] == 1 else total
+        n = [*np.bincount(np.minimum(real, cut + 2), minlength=cut + 3)[1 : cut + 2].tolist(), int(real.sum()), int((real > 0).sum())]
+        out, at = [], 0
         for r, k in zip(rows, keys):
             here = slice(at, at + len(k))
             at += len(k)
-            out.append({"block": r["block"], "kind": PAIRS, "p": r["p"], "a": _pack(total[group[here]].astype(np.uint32)), "b": _pack(np.packbits(owned[here])), "n": n})
+            out.append({"block": r["block"], "k": r["k"], "weight": False, "p": r["p"], "a": _pack(total[group[here]].astype(np.uint32)), "b": _pack(np.packbits(owned[here])), "n": n})
             n = None
-        return _answers(out)
+        return _table(out, _ANSWER)
 
     return run
 
@@ -270,91 +231,97 @@ def discounts(n: list[int], cut: int = CUT) -> list[float]:
     return [1.0] * (cut + 1)
 
 
-class Unigrams:
-    """log10 P(w) by count."""
-
-    def __init__(self, n: list[int], total: int, cut: int):
-        import numpy as np
+class Model:
+    """Discounts of every order, and the probabilities of words by count."""
 
-        self.d, self.total = np.array(discounts(n, cut)), total
-        left = sum((1 - self.d[r]) * r * n[r - 1] for r in range(1, cut + 1))
-        self.below = total + (0 if left > 0 else 1)
+    def __init__(self, n: list[list[int]], cut: int):
+        self.cut, self.d = cut, [discounts(x, cut) for x in n]
+        self.total, self.distinct = n[0][cut + 1], n[0][cut + 2]
+        left = sum((1 - self.d[0][r]) * r * n[0][r - 1] for r in range(1, cut + 1))
+        self.below = self.total + (0 if left > 0 else 1)
         self.unknown = (left if left > 0 else 1.0) / self.below
 
-    def p(self, c):
+    def kept(self, k: int, c):
+        """Discounted counts of order k."""
         import numpy as np
 
-        return np.where(c > 0, self.d[np.minimum(c, len(self.d) - 1) * (c < len(self.d))] * c / self.below, self.unknown)
+        return np.array(self.d[k - 1])[np.minimum(c, self.cut) * (c <= self.cut)] * c
 
+    def words(self, c):
+        import numpy as np
 
-def _by_word(row: dict, answers: list[dict], kinds: tuple, parts: int, hashes) -> list:
-    """Answers about a block's words, put back in the order of its words."""
-    import numpy as np
+        return np.where(c > 0, self.kept(1, c) / self.below, self.unknown)
 
-    at = _split((hashes % np.uint64(parts)).astype(np.int32), parts)
-    out = []
-    for kind, column, dtype in kinds:
-        a = np.zeros(len(hashes), dtype=dtype)
-        for r in answers:
-            if r["kind"] == kind:
-                a[at[r["p"]]] = _unpack(r[column], dtype)
-        out.append(a)
-    return out
 
+class Answers:
+    """A block's n-grams with what reducers answered, in the block's own order."""
 
-def _discount(d, c):
-    import numpy as np
+    def __init__(self, row: dict, rows: list[dict], order: int, parts: int):
+        import numpy as np
+
+        self.grams = Grams(row, order)
+        n, at = [len(x) for x in self.grams.key], [self.grams.by_part(k, parts) for k in range(1, order + 1)]
+        self.count, self.owned = [np.zeros(m, dtype=np.int64) for m in n], [np.zeros(m, dtype=bool) for m in n]
+        self.alpha, self.more = [np.zeros(m) for m in n[:-1]], [np.zeros(m, dtype=np.uint8) for m in n[:-1]]
+        for r in rows:
+            k, i = r["k"] - 1, at[r["k"] - 1][r["p"]]
+            if r["weight"]:
+                self.alpha[k][i], self.more[k][i] = _unpack(r["a"], np.float64), _unpack(r["b"], np.uint8)
+            else:
+                self.count[k][i], self.owned[k][i] = _unpack(r["a"], np.uint32), np.unpackbits(_unpack(r["b"], np.uint8), count=len(i)).astype(bool)
 
-    return d[np.minimum(c, len(d) - 1) * (c < len(d))]
+    def direct(self, k: int, model: Model, which):
+        """P_k of seen n-grams."""
+        c, h = self.count[k - 1][which], self.grams.context[k - 1][which]
+        return model.kept(k, c) / (self.count[k - 2][h] + self.more[k - 2][h])
 
 
-def ask_alpha(parts: int, words: Unigrams, d2: list[float]) -> Callable:
-    """(block, answers) -> for each word, the discounted mass and the sum of P over owned bigrams it starts."""
+def ask_weights(parts: int, k: int, model: Model) -> Callable:
+    """(block, answers) -> for the contexts of order-k n-grams, the mass that discounting leaves and the sum of P_{k-1}
+    over the owned n-grams they begin, with their counts."""
 
     def run(left, right):
         import numpy as np
-        import pyarrow as pa
 
         out = []
         for row in left.to_pylist():
-            answers, hashes, d = right.to_pylist(), _word_hashes(_unpack_words(row["words"])), np.array(d2)
-            (c1,) = _by_word(row, answers, ((WORDS, "a", np.int64),), parts, hashes)
-            distinct, _, at, _, _ = _bigrams(row, hashes, parts)
-            mass, seen = np.zeros(len(hashes)), np.zeros(len(hashes))
-            p1 = words.p(c1)
-            for r in answers:
-                if r["kind"] == PAIRS:
-                    i = at[r["p"]]
-                    c = _unpack(r["a"], np.uint32).astype(np.int64)
-                    mine = np.unpackbits(_unpack(r["b"], np.uint8), count=len(i)).astype(bool) & (c > 0)
-                    pair, c = distinct[i][mine], c[mine]
-                    mass += np.bincount(pair >> 32, (1 - _discount(d, c)) * c, minlength=len(hashes))
-                    seen += np.bincount(pair >> 32, p1[pair & 0xFFFFFFFF], minlength=len(hashes))
-            part = (hashes % np.uint64(parts)).astype(np.int32)
-            out += [{"p": p, "block": row["block"], "a": _pack(mass[i]), "b": _pack(seen[i])} for p, i in enumerate(_split(part, parts)) if len(i)]
-        return pa.Table.from_batches([_asked(out)])
+            a = Answers(row, right.to_pylist(), k, parts)
+            own = np.flatnonzero(a.owned[k - 1] & (a.count[k - 1] > 0))
+            h, c, low = a.grams.context[k - 1][own], a.count[k - 1][own], a.grams.suffix[k - 1][own]
+            below = model.words(a.count[0][low]) if k == 2 else a.direct(k - 1, model, low)
+            n = len(a.grams.key[k - 2])
+            mass, seen, known = np.bincount(h, c - model.kept(k, c), minlength=n), np.bincount(h, below, minlength=n), a.count[k - 2]
+            out += [{"k": k - 1, "p": p, "block": row["block"], "a": a.grams.key[k - 2][i].tobytes(), "b": _pack(mass[i]), "c": _pack(seen[i]), "d": _pack(known[i].astype(np.uint32))} for p, i in enumerate(a.grams.by_part(k - 1, parts)) if len(i)]
+        return _table(out, _ASK)
 
     return run
 
 
-def answer_alpha(asks, index):
-    """Sums by word over blocks -> log10 alpha and what is added to c(h), for each block."""
+def answer_weights(table):
+    """Sums by context over blocks -> log10 alpha and what is added to c(h), for each block."""
     import numpy as np
 
-    total = next(_unpack(r["b"], np.int64) for r in index.to_pylist() if r["b"] is not None)
-    where = {r["block"]: _unpack(r["a"], np.uint32).astype(np.int64) for r in index.to_pylist()}
-    mass, seen = np.zeros(len(total)), np.zeros(len(total))
-    rows = sorted(({"block": r["block"], "p": r["p"], "a": _unpack(r["a"], np.float64), "b": _unpack(r["b"], np.float64)} for r in asks.to_pylist()), key=lambda r: r["block"])
-    for r in rows:
-        mass += np.bincount(where[r["block"]], r["a"], minlength=len(total))
-        seen += np.bincount(where[r["block"]], r["b"], minlength=len(total))
-    more = ((mass <= 1e-12) & (total > 0)).astype(np.uint8)
-    left = np.where(total > 0, np.where(more > 0, 1.0 / (total + 1), mass / np.maximum(total, 1)), 1.0)
-    alpha = np.log10(left / np.where(total > 0, np.maximum(1 - seen, 1e-300), 1.0))
-    return _answers([{"block": r["block"], "kind": ALPHA, "p": r["p"], "a": _pack(alpha[where[r["block"]]]), "b": _pack(more[where[r["block"]]]), "n": None} for r in rows])
-
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])  # sums are then the same at every run
+    keys = [np.frombuffer(r["a"], dtype=np.uint64) for r in rows]
+    distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = lambda c: np.bincount(group, np.concatenate([_unpack(r[c], np.float64) for r in rows]), minlength=len(distinct))
+    mass, seen, count = sums("b"), sums("c"), np.zeros(len(distinct), dtype=np.int64)
+    count[group] = np.concatenate([_unpack(r["d"], np.uint32) for r in rows])
+    known = count > 0
+    more = ((mass <= 1e-12) & known).astype(np.uint8)
+    left = np.where(known, np.where(more > 0, 1.0 / (count + 1), mass / np.maximum(count, 1)), 1.0)
+    alpha = np.log10(left / np.where(known, np.maximum(1 - seen, 1e-300), 1.0))
+    out, at = [], 0
+    for r, k in zip(rows, keys):
+        mine = group[at : at + len(k)]
+        at += len(k)
+        out.append({"block": r["block"], "k": r["k"], "weight": True, "p": r["p"], "a": _pack(alpha[mine]), "b": _pack(more[mine]), "n": None})
+    return _table(out, _ANSWER)
+
+
+def evaluate(parts: int, order: int, model: Model, id_type) -> Callable:
+    """(block, answers) -> the scores of its texts."""
 
-def evaluate(parts: int, words: Unigrams, d2: list[float], distinct_words: int, id_type) -> Callable:
     def run(left, right):
         import numpy as np
         import pyarrow as pa
@@ -364,67 +331,65 @@ def evaluate(parts: int, words: Unigrams, d2: list[float], distinct_words: int,
         out = []
         schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         for row in left.to_pylist():
-            answers, hashes, d = right.to_pylist(), _word_hashes(_unpack_words(row["words"])), np.array(d2)
-            c1, alpha, more = _by_word(row, answers, ((WORDS, "a", np.int64), (ALPHA, "a", np.float64), (ALPHA, "b", np.uint8)), parts, hashes)
-            distinct, _, at, pairs, _ = _bigrams(row, hashes, parts)
-            c2 = np.zeros(len(distinct), dtype=np.int64)
-            for r in answers:
-                if r["kind"] == PAIRS:
-                    c2[at[r["p"]]] = _unpack(r["a"], np.uint32)
-            h, w = distinct >> 32, distinct & 0xFFFFFFFF
-            found = c2 > 0
-            log = alpha[h] + np.log10(words.p(c1))[w]
-            log[found] = np.log10(_discount(d, c2[found]) * c2[found] / (c1[h[found]] + more[h[found]]))
-            base = np.log10((c1 + 0.5) / (words.total + 0.5 * (distinct_words + 1)))
-            sizes = _unpack(row["sizes"], np.int64) + 1
-            token = np.searchsorted(distinct, pairs)
-            second = (pairs & 0xFFFFFFFF).astype(np.int64)
+            a = Answers(row, right.to_pylist(), order, parts)
+            g = a.grams
+            log = np.log10(model.words(a.count[0]))
+            token = log[g.ids[0]]
+            for k in range(2, order + 1):
+                seen = np.flatnonzero(a.count[k - 1] > 0)
+                below, log = log, a.alpha[k - 2][g.context[k - 1]]
+                log += below[g.suffix[k - 1]]
+                log[seen] = np.log10(a.direct(k, model, seen))
+                at = np.flatnonzero(g.ok[k - 1])
+                token[at] = log[g.ids[k - 1][at]]
+            base, word = np.log10((a.count[0] + 0.5) / (model.total + 0.5 * (model.distinct + 1))), g.ids[0][g.words]
+            sizes = g.sizes + 1
             ids = pa.ipc.open_stream(row["ids"]).read_all()["doc_id"]
-            out.append(pa.table([ids, pa.array(_unpack(row["held"], bool)), pa.array(sizes), pa.array(sums((c1[second] > 0).astype(np.int64), sizes)), pa.array(sums(base[second], sizes)), pa.array(sums(log[token], sizes))], schema=schema))
+            known = (a.count[0] > 0).astype(np.int64)
+            columns = [ids, _unpack(row["held"], bool), sizes, sums(known[word], sizes), sums(base[word], sizes), sums(token[g.words], sizes)]
+            out.append(pa.table([x if i == 0 else pa.array(x) for i, x in enumerate(columns)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
-def score(docs: DataFrame, held_out, cut: int = CUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = ORDER, cut: int = CUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text), held_out: a boolean column -> doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score (log10). The model learns from the rows that aren't held out."""
+    base_score, score (log10), by a model of the given order (2: bigrams). It learns from the rows not held out."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
+    from .arrowtext import hashes
+
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(8, rows.rdd.getNumPartitions())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // block_bytes))
     name = f"medlark_{uuid.uuid4().hex}"
+    path = {"blocks": shared_dir(spark), "answers": shared_dir(spark)}
 
     def store(df: DataFrame, table: str, mode: str) -> None:
-        df.write.bucketBy(2 * parts, "block").option("path", path[table]).option("compression", "uncompressed").mode(mode).saveAsTable(f"{name}_{table}")
+        df.write.bucketBy(min(2 * parts, 50_000), "block").option("path", path[table]).option("compression", "uncompressed").mode(mode).saveAsTable(f"{name}_{table}")
 
-    path = {"blocks": shared_dir(spark), "answers": shared_dir(spark)}
     store(rows.mapInArrow(blocks(block_bytes), _BLOCK), "blocks", "error")
-    table = spark.table(f"{name}_blocks")
-    first = durable(table.select("block", "words", "counts").mapInArrow(ask_words(parts), _ASK).groupBy("p").applyInArrow(answer_words(cut), _ANSWER), "uncompressed")
-    store(first.filter(F.col("kind") == WORDS).repartition("block"), "answers", "error")
-    pairs = table.drop("counts", "ids").mapInArrow(ask_pairs(parts), _ASK).groupBy("p").applyInArrow(answer_pairs(cut), _ANSWER)
-    store(pairs.repartition("block"), "answers", "append")
-
-    def totals(k: int) -> list[int]:
-        got = spark.table(f"{name}_answers").filter((F.col("kind") == k) & F.col("n").isNotNull()).agg(*[F.sum(F.get("n", F.lit(i))) for i in range(cut + 3)]).first()
-        return [int(x or 0) for x in got]
-
-    n1, n2 = totals(WORDS), totals(PAIRS)
-    words, d2 = Unigrams(n1, n1[cut + 1], cut), discounts(n2, cut)
-    answers = lambda *kinds: spark.table(f"{name}_answers").filter(F.col("kind").isin(*kinds)).drop("n")
-    by_block = table.drop("counts").groupBy("block")
-    asks = by_block.cogroup(answers(WORDS, PAIRS).groupBy("block")).applyInArrow(ask_alpha(parts, words, d2), _ASK)
-    index = first.filter(F.col("kind") == INDEX).select("p", "block", "a", "b")
-    weights = asks.groupBy("p").cogroup(index.groupBy("p")).applyInArrow(answer_alpha, _ANSWER)
-    store(weights.repartition("block"), "answers", "append")
+    by_block = spark.table(f"{name}_blocks").groupBy("block")
+    start = int(hashes(pa.array([START]))[0])
+    counted = by_block.applyInArrow(ask_counts(parts, order), _ASK).groupBy("k", "p").applyInArrow(answer_counts(cut, start), _ANSWER)
+    store(counted.repartition("block"), "answers", "error")
+    found = {r.k: r.n for r in spark.table(f"{name}_answers").filter("n is not null").groupBy("k").agg(F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(cut + 3)]).alias("n")).collect()}
+    model = Model([found.get(k, [0] * (cut + 3)) for k in range(1, order + 1)], cut)
+    answers = lambda k: spark.table(f"{name}_answers").filter(F.col("k") <= k).drop("n").groupBy("block")
+    for k in range(2, order + 1):
+        asks = by_block.cogroup(answers(k)).applyInArrow(ask_weights(parts, k, model), _ASK)
+        store(asks.groupBy("k", "p").applyInArrow(answer_weights, _ANSWER).repartition("block"), "answers", "append")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    id_type = to_arrow_type(kind) if not isinstance(kind, pa.DataType) else kind
-    out = by_block.cogroup(answers(WORDS, PAIRS, ALPHA).groupBy("block")).applyInArrow(evaluate(parts, words, d2, n1[cut + 2], id_type), schema)
-    return out.withColumn("train_tokens", F.lit(n1[cut + 1]).cast("long"))
+    out = by_block.cogroup(answers(order)).applyInArrow(evaluate(parts, order, model, to_arrow_type(kind)), schema)
+    for table in path:  # out is bound to the files, which stay
+        spark.sql(f"DROP TABLE {name}_{table}")
+    return out.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,35 +51,54 @@ def test_sharding_moves_little(spark):
     assert max(loads.values()) <= 1.25 * 4100 / 8 + 2
 
 
-def test_katz(spark, corpus, rows):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(spark, corpus, rows, order):
+    from pyspark.sql import functions as F
+
     texts = [(r[0], [*WORD.findall(lower(r[1])), "</s>"]) for r in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in texts]
     train = [w for (_, w), h in zip(texts, held) if not h]
-    c1, c2 = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["<s>", *w], w))
-    n, v, ch = sum(c1.values()), len(c1), Counter(c1) + Counter({"<s>": len(train)})
+    grams = lambda w, k: [tuple(s[max(0, i - k + 1) : i + 1]) for s in (["<s>", *w],) for i in range(1, len(s)) if k == 1 or i >= k - 1]
+    count = {k: Counter(g for w in train for g in grams(w, k)) for k in range(1, order + 1)}
     coc = lambda c: [sum(x == r for x in c.values()) for r in range(1, 7)]
-    d1, d2 = katz.discounts(coc(c1)), katz.discounts(coc(c2))
-    cut = lambda d, r: d[r] if r <= 5 else 1.0
-    left = sum((1 - cut(d1, r)) * r for r in c1.values())
+    d = {k: katz.discounts(coc(c)) for k, c in count.items()}
+    cut = lambda k, r: d[k][r] if r <= 5 else 1.0
+    n, v = sum(count[1].values()), len(count[1])
+    left = sum((1 - cut(1, r)) * r for r in count[1].values())
     below = n + (0 if left > 0 else 1)
-    p1, unknown = {w: cut(d1, r) * r / below for w, r in c1.items()}, (left if left > 0 else 1) / below
-    mass, seen = defaultdict(float), defaultdict(float)
-    for (h, w), r in c2.items():
-        mass[h] += (1 - cut(d2, r)) * r
-        seen[h] += p1[w]
+    after = defaultdict(dict)
+    for k in range(2, order + 1):
+        for g, r in count[k].items():
+            after[g[:-1]][g[-1]] = r
+    mass = {h: sum((1 - cut(len(h) + 1, r)) * r for r in ws.values()) for h, ws in after.items()}
+    total = {h: sum(ws.values()) for h, ws in after.items()}
+    alpha = {}
 
     def p(h, w):
-        more = h in seen and mass[h] <= 1e-12
-        if (h, w) in c2:
-            return cut(d2, c2[h, w]) * c2[h, w] / (ch[h] + more)
-        q = p1.get(w, unknown)
-        return q if h not in seen else (1 / (ch[h] + 1) if more else mass[h] / ch[h]) / (1 - seen[h]) * q
-
-    for h in ("<s>", *list(c1)[:20]):
-        assert sum(p(h, w) for w in c1) + p(h, "never seen") == pytest.approx(1)
-    want = sorted((key(i), h, len(w), sum(x in c1 for x in w), round(sum(math.log10((c1[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 5), round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)), 5)) for (i, w), h in zip(texts, held))
-    got = sorted((key(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in katz.op2_katz_scores(spark, corpus).collect())
-    assert got == want
+        if not h:
+            r = count[1].get((w,), 0)
+            return cut(1, r) * r / below if r else (left if left > 0 else 1) / below
+        if h not in after:
+            return p(h[1:], w)
+        more = mass[h] <= 1e-12
+        if w in after[h]:
+            return cut(len(h) + 1, after[h][w]) * after[h][w] / (total[h] + more)
+        if h not in alpha:
+            alpha[h] = (1 / (total[h] + 1) if more else mass[h] / total[h]) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return alpha[h] * p(h[1:], w)
+
+    longest = [h for h in after if len(h) == order - 1]
+    for h in longest[:5] + longest[-5:] + [("<s>",)]:
+        assert sum(p(h, w) for (w,) in count[1]) + p(h, "never seen") == pytest.approx(1)
+    score = lambda w: sum(math.log10(p(g[:-1], g[-1])) for s in (["<s>", *w],) for i in range(1, len(s)) for g in (tuple(s[max(0, i - order + 1) : i + 1]),))
+    want = sorted((key(i), h, len(w), sum((x,) in count[1] for x in w), round(sum(math.log10((count[1].get((x,), 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4), round(score(w), 4)) for (i, w), h in zip(texts, held))
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    each = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    out = katz.op2_katz_scores(spark, corpus) if order == 2 else katz.score(docs, each, order, block_bytes=500)
+    got = sorted((key(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in out.collect())
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert [y for x in got for y in x[4:]] == pytest.approx([y for x in want for y in x[4:]], abs=2e-4)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("medlark_")]
 
 
 def test_discounts_fall_back():
