@@ -1,45 +1,71 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is the set of its words weighted by their counts. Sample k of a word of weight w draws r and c from
-Gamma(2, 1) and beta from U(0, 1), all from hashes of (word, k); with t = floor(ln w / r + beta) the word competes
+Gamma(2, 1) and beta from U(0, 1), all from a hash of (word, k); with t = floor(ln w / r + beta) the word competes
 with ln a = ln c - r (t - beta + 1), and the sample is the (word, t) of the least. Two texts agree in a sample with
-probability equal to their generalised Jaccard similarity, sum of min over sum of max of the weights.
+probability equal to their generalised Jaccard similarity, sum of min over sum of max of the weights. Every distinct
+word competes in all `SAMPLES` samples, so the rate of agreement estimates that similarity for weights of any shape,
+with a standard error of at most 1 / (2 sqrt(SAMPLES)), 0.0625.
 
-Words are dealt to `GROUPS` groups by hash and each group has `SAMPLES` samples of its own, so a word is drawn
-SAMPLES times for GROUPS * SAMPLES samples. The agreement rate holds in each group; with the groups' total weights,
-kept in the fingerprint, sum-min and sum-max follow group by group (see `likeness`).
+Gamma variates come from tables of 2 ** TABLE_BITS quantiles, indexed by bits of the hash: two reads of an array in
+place of three logarithms a draw. The highest cell of r and the lowest of c have a table of their own, down to
+2 ** -20; beta has 20 bits, so ties between words stay rare.
 
-A sample is 16 bits of the winner's hash; the fingerprint string is the samples in hex, then the group weights.
+A sample is 16 bits of the winner's hash; the fingerprint string is the samples in hex.
 
-Defined results: null text counts as empty; texts without words have empty samples (ffff) and weight 0, are fully
-alike each other and unlike all else; null doc_ids come first in the order of documents; of equal doc_ids the
-row read first comes first; a single document is its own next; an empty table gives an empty result.
+Defined results: null text counts as empty; texts without words have empty samples (ffff), are fully alike each other
+and unlike all else; null doc_ids come first in the order of documents; of equal doc_ids the row read first comes
+first; equal texts have equal fingerprints, repeated rows each have their own; a text of any length is drawn whole, row
+by row; a single document is its own next; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read, text_or_empty, words
-
-GROUPS, SAMPLES = 8, 8
-#: Samples drawn in one row; more would make a generated method that the JVM doesn't compile.
-PER_ROW = 2
-_M32, _M21 = (1 << 32) - 1, (1 << 21) - 1
-
-
-def _draws(x: Column, log_weight: Column) -> Column:
-    """An order-preserving long for (ln a, winner's 16 bits), from the 64-bit hash x of a word and a sample."""
-    uniform = lambda bits, n: (bits.cast("double") + 0.5) * 2.0**-n
-    y = F.xxhash64(x)
-    r = -F.ln(uniform(x.bitwiseAND(F.lit(_M32)), 32) * uniform(F.shiftrightunsigned(x, 32), 32))
-    log_c = F.ln(-F.ln(uniform(F.shiftrightunsigned(y, 21).bitwiseAND(F.lit(_M21)), 21) * uniform(F.shiftrightunsigned(y, 43), 21)))
-    beta = uniform(y.bitwiseAND(F.lit(_M21)), 21)
+from .common import constants, durable, read, text_or_empty, words
+
+SAMPLES, TABLE_BITS = 64, 10
+
+
+def _gamma_quantiles(below: list[float]) -> list[float]:
+    """The quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), at 1 - u for each u, by bisection."""
+    out = []
+    for u in below:
+        low, high = 0.0, 60.0
+        for _ in range(90):
+            x = (low + high) / 2
+            # near 0 the distribution is x**2 / 2 - x**3 / 3 + x**4 / 8, where 1 - u would be lost in rounding
+            less = x * x / 2 - x**3 / 3 + x**4 / 8 < -u if u < 0 else (1 + x) * math.exp(-x) > u
+            low, high = (x, high) if less else (low, x)
+        out.append((low + high) / 2)
+    return out
+
+
+_N = 1 << TABLE_BITS
+_GAMMA = _gamma_quantiles([1 - (i + 0.5) / _N for i in range(_N)])
+#: The highest cell of r and the lowest of c decide who wins among many words: a table for each of them again.
+_HIGH = _gamma_quantiles([(i + 0.5) / _N**2 for i in range(_N)])
+_LOW = _gamma_quantiles([-(i + 0.5) / _N**2 for i in range(_N)])
+_TABLES = {"_gamma": _GAMMA, "_log_gamma": list(map(math.log, _GAMMA)), "_high": _HIGH, "_log_low": list(map(math.log, _LOW))}
+
+
+def _draw(x: Column, k: int, log_weight: Column) -> Column:
+    """An order-preserving long for (ln a, winner's 16 bits) of sample k, from the 64-bit hash x of a word; the tables
+    are columns by the names of _TABLES."""
+    y = F.xxhash64(x.bitwiseXOR(F.lit(k * 0x9E3779B97F4A7C15 % (1 << 63))))
+    index = lambda h, shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_N - 1)).cast("int")
+    r = F.when(index(y, 0) == _N - 1, F.get("_high", index(F.xxhash64(y), 0))).otherwise(F.get("_gamma", index(y, 0)))
+    log_c = F.when(index(y, TABLE_BITS) == 0, F.get("_log_low", index(F.xxhash64(y), TABLE_BITS))).otherwise(F.get("_log_gamma", index(y, TABLE_BITS)))
+    beta = (F.shiftrightunsigned(y, 24).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5) * 2.0**-20
     t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta + 1)
-    # log_a lies within (-60, 10): 40 bits for it, 16 for the winner.
-    return F.shiftleft(((log_a + 64) * float(1 << 33)).cast("long"), 16).bitwiseOR(F.xxhash64(x, t).bitwiseAND(F.lit(0xFFFF)))
+    # log_a lies within (-60, 10): 40 bits for it, 16 for the winner, which are bits of y that nothing else uses.
+    winner = (F.shiftrightunsigned(y, 44) + t * 40503).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftleft(((log_a + 64) * float(1 << 33)).cast("long"), 16).bitwiseOR(winner)
 
 
 def counted_words(text: Column) -> list[tuple[str, Column]]:
@@ -51,47 +77,30 @@ def counted_words(text: Column) -> list[tuple[str, Column]]:
     return [("_sorted", F.sort_array(words(text))), ("_starts", F.when(F.size(s) > 0, starts).otherwise(none)), ("_terms", terms)]
 
 
-def signatures(texts: DataFrame, keep: list[str], kinds: int = 1, samples: int = SAMPLES, groups: int = GROUPS) -> DataFrame:
-    """texts(keep..., kind, text); keep and kind identify a row -> a row for each keep, with sig_<kind> (groups *
-    samples ints, -1 where a group is empty) and weights_<kind> (a long for each group). No exchange when texts are
-    already partitioned by some of keep."""
+def signatures(texts: DataFrame, keep: list[str], kinds: int = 1, samples: int = SAMPLES) -> DataFrame:
+    """texts(keep..., kind, text); keep and kind identify a row -> a row for each keep, with sig_<kind> (an int for each
+    sample, -1 where there are no words). No exchange when texts are already partitioned by some of keep."""
     rows = texts
     for name, col in counted_words(text_or_empty()):
         rows = rows.withColumn(name, col)
-    terms = rows.select(*keep, "kind", F.explode_outer("_terms").alias("_t")).select(*keep, "kind", F.xxhash64("_t.word").alias("_x"), F.col("_t.n").alias("_n"))
-    turns = samples // PER_ROW
-    slots = groups * turns
-    group = F.pmod("_x", F.lit(groups)).cast("int")
-    drawn = terms.select(*keep, "kind", "_x", "_n", F.ln(F.col("_n").cast("double")).alias("_w"), F.explode(F.array(*[F.lit(i) for i in range(turns)])).alias("_turn"))
-    drawn = drawn.withColumn("_slot", F.when(F.col("_n").isNotNull(), F.col("kind") * slots + group * turns + F.col("_turn")))
-    seeded = drawn.select(*keep, "_slot", "_n", "_w", *[F.xxhash64("_x", (F.col("_turn") * PER_ROW + j)).alias(f"_x{j}") for j in range(PER_ROW)])
-    least = seeded.groupBy(*keep, "_slot").agg(F.sum("_n").alias("_n"), *[F.min(F.when(F.col("_n").isNotNull(), _draws(F.col(f"_x{j}"), F.col("_w")))).alias(f"_m{j}") for j in range(PER_ROW)])
-    low = lambda j: F.col(f"_m{j}").bitwiseAND(F.lit(0xFFFF)).cast("int")
-    found = least.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct("_slot", F.struct(F.col("_n").alias("n"), F.array(*[low(j) for j in range(PER_ROW)]).alias("s")))))).alias("_map"))
-    at = lambda slot: F.try_element_at("_map", slot)
-    empty = F.array(*[F.lit(-1) for _ in range(PER_ROW)])
-    sig = lambda k: F.flatten(F.transform(F.sequence(F.lit(k * slots), F.lit((k + 1) * slots - 1)), lambda i: F.coalesce(at(i)["s"], empty)))
-    weights = lambda k: F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.coalesce(at(k * slots + g * turns)["n"], F.lit(0)).cast("long"))
-    return found.select(*keep, *[c for k in range(kinds) for c in (sig(k).alias(f"sig_{k}"), weights(k).alias(f"weights_{k}"))])
-
-
-def likeness(sig_a: Column, weights_a: Column, sig_b: Column, weights_b: Column, samples: int = SAMPLES, groups: int = GROUPS) -> Column:
-    """Estimated generalised Jaccard similarity. With rate J and total weight W of both texts in a group, the sum
-    of minima there is W J / (1 + J) and the sum of maxima W / (1 + J)."""
-    same = F.zip_with(sig_a, sig_b, lambda a, b: F.when((a == b) & (a >= 0), F.lit(1)).otherwise(0))
-
-    def step(acc: Column, g: Column) -> Column:
-        rate = F.aggregate(F.slice(same, g * samples + 1, F.lit(samples)), F.lit(0), lambda s, v: s + v) / F.lit(float(samples))
-        whole = (F.get(weights_a, g) + F.get(weights_b, g)) / (1 + rate)
-        return F.struct((acc.low + whole * rate).alias("low"), (acc.high + whole).alias("high"))
-
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(groups - 1)), start, step, lambda a: F.when(a.high == 0, F.lit(1.0)).otherwise(a.low / a.high))
-
-
-def as_string(sig: Column, weights: Column) -> Column:
-    hexes = F.transform(sig, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(0xFFFF)))), 4, "0"))
-    return F.concat(F.array_join(hexes, ""), F.array_join(F.transform(weights, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), ""))
+    # The tables are columns, not literals in every draw, so that a task holds them once.
+    tables = [F.when(F.size("_terms") >= 0, constants(x)).alias(n) for n, x in _TABLES.items()]
+    terms = rows.select(*keep, "kind", "_terms", *tables).select(*keep, "kind", *_TABLES, F.explode_outer("_terms").alias("_t"))
+    terms = terms.select(*keep, "kind", *_TABLES, F.xxhash64("_t.word").alias("_x"), F.ln(F.col("_t.n").cast("double")).alias("_w"))
+    draws = [F.min(_draw(F.col("_x"), k, F.col("_w"))).alias(f"_m{k}") for k in range(samples)]
+    least = terms.groupBy(*keep, "kind").agg(*draws)
+    low = [F.coalesce(F.col(f"_m{k}").bitwiseAND(F.lit(0xFFFF)).cast("int"), F.lit(-1)) for k in range(samples)]
+    found = least.select(*keep, "kind", F.array(*low).alias("_s")).groupBy(*keep).agg(*[F.max(F.when(F.col("kind") == i, F.col("_s"))).alias(f"sig_{i}") for i in range(kinds)])
+    return found
+
+
+def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
+    """Estimated generalised Jaccard similarity of two signatures: the share of samples in which they agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(1)).otherwise(0)), F.lit(0), lambda s, v: s + v) / F.lit(float(samples))
+
+
+def as_string(sig: Column) -> Column:
+    return F.array_join(F.transform(sig, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(0xFFFF)))), 4, "0")), "")
 
 
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -137,9 +146,9 @@ def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))
     keep = ["bucket", "ghost", "rid", "doc_id", "n_chars", "sha"]
     sigs = signatures(near.select(*keep, F.explode(texts).alias("_")).filter("not (ghost and _.kind = 1)").select(*keep, "_.*"), keep, kinds=2)
-    sigs = sigs.withColumn("n_sig", F.lead("sig_0").over(order)).withColumn("n_weights", F.lead("weights_0").over(order)).filter("not ghost")
-    own, edited, after = ((F.col(a), F.col(b)) for a, b in (("sig_0", "weights_0"), ("sig_1", "weights_1"), ("n_sig", "n_weights")))
+    sigs = sigs.withColumn("n_sig", F.lead("sig_0").over(order)).filter("not ghost")
+    own, edited, after = F.col("sig_0"), F.col("sig_1"), F.col("n_sig")
     return sigs.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), as_string(*own).alias("fingerprint"),
-        as_string(*edited).alias("edited_fingerprint"), likeness(*own, *edited).alias("near_edited"), likeness(*own, *after).alias("near_next"),
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), as_string(own).alias("fingerprint"),
+        as_string(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, after).alias("near_next"),
     )
