@@ -8,27 +8,28 @@ position, and range-sorting on it yields the curriculum.
 Quotas: sources ordered by code point (null last) weigh `weights`, repeating; together they take `share` of all
 words; a quota above `cap` times its source's words stops there and the excess is shared again by weight.
 
-A source's stream is its documents in the order of a hash of doc_id, read again from the start when it ends.
-Running totals come from two passes (sums by slice of the hash, then within a slice), so no task holds a source.
+A source's stream is its documents in the order of a hash of doc_id, then of their row number, read again from the
+start when it ends. Running totals come from two-pass prefix sums over ranges of (source, hash, row), so no task holds
+a source or a key, however many rows it has; the sources, however many, are ordered in the same way. All this moves
+narrow rows; whole texts are shuffled once to meet their places and once into training order.
 The document on which a quota ends is cut to its first words, hence each source takes its rounded quota exactly.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; null doc_id is hashed
-as the empty string; repeated rows are separate documents; an empty table gives an empty result; columns of
-other names pass through untouched.
+as the empty string; repeated rows are separate documents; of rows that tie in hash, doc_id and size the one stored first
+is read first; a text of any length counts and moves whole, but for the cut; an empty table gives an empty result; other
+columns pass through untouched whatever their names, but for `mix_position`, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, durable, n_words, read, words
+from .common import WORD, durable, n_words, read, running, stored, words
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: Knots (t, weight) for the 1st, 2nd and 3rd source of each run of three: falling, flat, rising late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.0)))
-#: Hex digits of the order key that make a slice: 4096 slices of each source.
-SLICE_DIGITS = 3
 
 
 def _cycle(values: tuple, index: Column) -> Column:
@@ -36,26 +37,19 @@ def _cycle(values: tuple, index: Column) -> Column:
 
 
 def quotas(by_source: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
-    """by_source(source, source_size) -> the same with source_index, target and quota (the target, rounded).
-
-    One row a source; the order of sources is total, so this small table is sorted in one place.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy("_ratio", "source_index")
-    ranked = by_source.select("source", "source_size", (F.row_number().over(by_name) - 1).alias("source_index"))
+    """by_source(source, source_size), one row a source -> the same with source_index, source_start (words of the
+    sources before it), target and quota (the target, rounded)."""
+    ranked = running(by_source, [F.col("source").asc_nulls_last()], {"source_index": F.lit(1), "source_start": F.col("source_size")})
     ranked = ranked.withColumn("_w", _cycle(weights, F.col("source_index"))).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
-    ranked = ranked.withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    levels = ranked.select(
-        "*",
-        (F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy())).alias("_all"),
-        F.coalesce(F.sum("_cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_full"),
-        F.sum("_w").over(fill.rowsBetween(0, Window.unboundedFollowing)).alias("_open"),
-        F.row_number().over(fill).alias("_rank"),
-    ).withColumn("_level", (F.col("_all") - F.col("_full")) / F.col("_open"))
-    levels = levels.withColumn("_stops", F.col("_level") >= F.col("_ratio"))
-    level = F.min_by(F.when(~F.col("_stops"), F.col("_level")), F.when(~F.col("_stops"), F.col("_rank"))).over(Window.partitionBy())
-    target = F.when(F.col("_stops"), F.col("_cap")).otherwise(level * F.col("_w"))
-    return levels.select("source", "source_size", "source_index", target.alias("target")).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
+    ranked = durable(ranked.withColumn("_ratio", F.col("_cap") / F.col("_w")))
+    size, weight = (x or 0 for x in ranked.agg(F.sum("source_size"), F.sum("_w")).first())
+    # Sources stop at their cap in the order of cap over weight; `_level` is what a weight of one gets if all before do.
+    filled = running(ranked, [F.col("_ratio").asc(), F.col("source_index").asc()], {"_full": F.col("_cap"), "_shut": F.col("_w")})
+    levels = durable(filled.withColumn("_level", (F.lit(float(share) * size) - F.col("_full")) / (F.lit(float(weight)) - F.col("_shut"))))
+    stops = F.col("_level") >= F.col("_ratio")
+    level = levels.filter(~stops).agg(F.min_by("_level", F.struct("_ratio", "source_index"))).first()[0]
+    target = F.when(stops, F.col("_cap")).otherwise(F.lit(level).cast("double") * F.col("_w"))
+    return levels.select("source", "source_size", "source_index", "source_start", target.alias("target")).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
 
 
 def position(done: Column, index: Column, schedules=SCHEDULES) -> Column:
@@ -80,19 +74,14 @@ def position(done: Column, index: Column, schedules=SCHEDULES) -> Column:
 
 
 def place(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
-    """docs(doc_id, source, size, ...) -> the same rows with source_size, source_index, target, quota and
-    stream_start (words of the source before the document)."""
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
-    sums = keyed.groupBy("source", "_slice").agg(F.sum("size").alias("_slice_size"))
-    sources = quotas(sums.groupBy("source").agg(F.sum("_slice_size").alias("source_size")), weights, share, cap)
-    before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "_slice", F.coalesce(F.sum("_slice_size").over(before), F.lit(0)).alias("_slice_start"))
-    starts = starts.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a._slice", "a._slice_start", "b.source_size", "b.source_index", "b.target", "b.quota")
-    inside = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows, starts = rows.alias("d"), starts.alias("s")
-    joined = rows.join(starts, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._slice") == F.col("s._slice")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], "d._key", "s.source_size", "s.source_index", "s.target", "s.quota", (F.col("s._slice_start") + F.col("d._inside")).alias("stream_start"))
+    """docs(doc_id, source, size, row), stored; row tells rows apart -> the same rows with key (hash of doc_id),
+    source_size, source_index, target, quota and stream_start (words of the source before the document)."""
+    sources = quotas(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = [F.col("source").asc_nulls_last(), *[F.col(c).asc_nulls_first() for c in ("key", "doc_id", "size", "row")]]
+    rows, s = running(keyed, order, {"before": F.col("size")}).alias("d"), sources.alias("s")
+    joined = rows.join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
+    return joined.select(*[F.col(f"d.{c}") for c in keyed.columns], "source_size", "source_index", "target", "quota", (F.col("before") - F.col("source_start")).alias("stream_start"))
 
 
 def _taken(turn: int) -> Column:
@@ -108,33 +97,41 @@ def _position_of(turn: Column, n: Column) -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
     """Documents in training order: a row for every reading of a document, its text cut where the quota ends,
     with `mix_position` in [0, 1]. Documents without words are never taken."""
-    placed = place(docs.withColumn("size", n_words(F.col("text"))), weights, share, cap)
+    spark = docs.sparkSession
+    rows = stored(docs.drop("mix_position"))
+    names = rows.columns
+    numbered = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    sizes = durable(numbered.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), n_words(F.col("doc.text")).alias("size"), "row"))
     turns = F.array(*[F.struct(F.lit(i).alias("turn"), _taken(i).alias("n")) for i in range(cap)])
-    each = placed.withColumn("_turn", F.explode(F.filter(turns, lambda x: x.n > 0)))
-    n = F.col("_turn.n")
-    text = F.when(n < F.col("size"), F.array_join(F.slice(words(F.col("text")), 1, n.cast("int")), " ")).otherwise(F.col("text"))
-    out = each.withColumn("mix_position", _position_of(F.col("_turn.turn"), n)).withColumn("text", text)
-    key = F.col("_key")
-    return out.repartitionByRange("mix_position", key).sortWithinPartitions("mix_position", key).select(*docs.columns, "mix_position")
+    each = place(sizes, weights, share, cap).withColumn("take", F.explode(F.filter(turns, lambda x: x.n > 0)))
+    taken = each.select("row", "key", "size", "take.turn", "take.n", _position_of(F.col("take.turn"), F.col("take.n")).alias("mix_position"))
+    # Ranges of training time are cut on narrow rows; texts then go straight to theirs.
+    parts, order = int(spark.conf.get("spark.sql.shuffle.partitions")), ["mix_position", "key", "row", "turn"]
+    ranged = durable(taken.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    found = numbered.join(ranged.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"))
+    cut = F.when(F.col("n") < F.col("size"), F.array_join(F.slice(words(F.col("doc.text")), 1, F.col("n").cast("int")), " ")).otherwise(F.col("doc.text"))
+    placed = found.repartitionById(parts, "part").sortWithinPartitions(*order)
+    return placed.select(*[cut.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in names], "mix_position")
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = durable(read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    first = _taken(0)
-    return place(docs).select(
-        "doc_id", "size", "source_size", "target",
-        sum((_taken(i) for i in range(1, CAP)), first).alias("taken"),
-        F.round(F.when(first > 0, _position_of(F.lit(0), first)), 6).alias("first_position"),
+    taken = [_taken(i) for i in range(CAP)]
+    spot = lambda i: F.round(F.when(taken[i] > 0, _position_of(F.lit(i), taken[i])), 6)
+    out = place(docs.withColumn("row", F.monotonically_increasing_id())).select(
+        "doc_id", "size", "source_size", "target", sum(taken[1:], taken[0]).alias("taken"), spot(0).alias("first_position"), spot(1).alias("second_position"), "key", "row",
     )
+    order = ["first_position", "key", "row"]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).drop("key", "row")
 
 
-def _position_sql() -> str:
+def _position_sql(done: str) -> str:
     def inverse(knots) -> str:
         area = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:]))
         cases, before = [], 0.0
         for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
             slope, size = (w1 - w0) / (t1 - t0), (t1 - t0) * (w0 + w1) / 2
-            rest = f"(done * {area!r} - {before!r})"
+            rest = f"({done} * {area!r} - {before!r})"
             cases.append(f"WHEN {rest} < {size!r} OR {t1!r} = {knots[-1][0]!r} THEN {t0!r} + 2 * {rest} / ({w0!r} + sqrt(greatest({w0 * w0!r} + {2 * slope!r} * {rest}, 0)))")
             before += size
         return f"least(CASE {' '.join(cases)} END, 1.0)"
@@ -162,7 +159,8 @@ WITH d AS (
 ), q AS (
   SELECT *, least(size, greatest(quota - c, 0)) AS n0, least(size, greatest(quota - source_size - c, 0)) AS n1 FROM p
 ), r AS (
-  SELECT *, (c + n0 / 2)::DOUBLE / quota AS done FROM q
+  SELECT *, (c + n0 / 2)::DOUBLE / quota AS d0, (source_size + c + n1 / 2)::DOUBLE / quota AS d1 FROM q
 )
-SELECT doc_id, size, source_size, target, (n0 + n1)::BIGINT AS taken, CASE WHEN n0 > 0 THEN round({_position_sql()}, 6) END AS first_position FROM r
+SELECT doc_id, size, source_size, target, (n0 + n1)::BIGINT AS taken, CASE WHEN n0 > 0 THEN round({_position_sql("d0")}, 6) END AS first_position,
+  CASE WHEN n1 > 0 THEN round({_position_sql("d1")}, 6) END AS second_position FROM r
 """
