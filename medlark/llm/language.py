@@ -13,7 +13,10 @@ sums over hosts and domains, never gathered.
 
 Defined results: null text counts as empty and leaves the priors to decide; null host, declaration or suffix are
 values of their own and carry no evidence of a language; a row without text and without any evidence is `und`;
-unknown declared codes count as other; repeated rows are separate rows; an empty table gives an empty result.
+unknown declared codes count as other; of languages with equal posteriors the first by name wins; repeated rows are
+separate rows; a text of any length is read whole, in slices; where no row has a usable label there is no language to
+learn, and no row is rejected; more than MAX_LANGUAGES labels are an error, not cut; an empty table gives an empty
+result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import constants, durable, read
+from .common import constants, durable, read, stored
 
-#: Labelled documents the text model is fitted on: those of the least hash, whole.
-TRAIN_ROWS = 4000
-BINS_BITS, MAX_LANGUAGES = 15, 32
+#: Labelled documents of each language that the text model is fitted on: those of the least hash, whole.
+TRAIN_ROWS = 1000
+#: A table of a language has 2 ** BINS_BITS floats; labels beyond MAX_LANGUAGES mean that the column isn't a language.
+BINS_BITS, MAX_LANGUAGES = 15, 1000
 #: Trigrams overlap and words repeat, so a text speaks with this share of its trigrams.
 TEMPER = 0.2
 #: Bytes of text that a worker takes at a time; a trigram needs some 30 bytes of memory.
@@ -77,17 +81,24 @@ def _count(batches: Iterator) -> Iterator:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list]:
-    """labelled(doc_id, text, lang) -> (languages, their log probabilities by bin). Fitted on `rows` rows at most."""
+    """labelled(doc_id, text, lang) -> (languages, their log probabilities by bin). Fitted on `rows` rows of each
+    language at most, so a rare language is learned as well as it can be."""
     import numpy as np
 
-    known = labelled.filter("lang is not null and text is not null").withColumn("_row", F.monotonically_increasing_id())
-    # The choice is made on narrow rows; at most `rows` numbers are broadcast to fetch the texts.
-    chosen = F.broadcast(durable(known.select("_row", F.xxhash64("doc_id").alias("_h"), "doc_id", "lang").orderBy("_h", "doc_id", "lang").limit(rows).select("_row")))
-    sample = known.join(chosen, "_row", "left_semi").select("text", "lang")
+    known = stored(labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang"))
+    known = known.withColumn("row", F.monotonically_increasing_id())
+    # The choice is made on narrow rows; the rank is limited before the shuffle, so a hot language gathers nothing.
+    hashed = known.select("row", "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "row"))).filter(F.col("rank") <= rows)
+    chosen = durable(ranked.select("row", "lang"))
+    names = [r.lang for r in chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    sample = known.join(F.broadcast(chosen.select("row")), "row", "left_semi").select("text", "lang")  # at most rows * MAX_LANGUAGES numbers
     counts: dict = {}
-    for r in sample.repartition(4).mapInArrow(_count, "lang string, n array<long>").collect():  # 4 tasks, MAX_LANGUAGES or so rows each
+    for r in sample.repartition(4).mapInArrow(_count, "lang string, n array<long>").toLocalIterator():  # 4 tasks, a row a language each
         counts[r.lang] = counts.get(r.lang, 0) + np.array(r.n, dtype=np.float64)
-    languages = sorted(sorted(counts, key=lambda k: (-counts[k].sum(), k))[:MAX_LANGUAGES])
+    languages = sorted(counts)
     return languages, [np.log((counts[k] + 0.5) / (counts[k].sum() + 0.5 * (1 << BINS_BITS))).astype(np.float32) for k in languages]
 
 
@@ -174,7 +185,7 @@ def identify(rows: DataFrame, languages: list[str], tables: list) -> DataFrame:
     mute = (F.array_min("ll") == 0) & F.col("host").isNull() & F.col("declared").isNull() & F.col("suffix").isNull()
     text_name = F.element_at(F.array(*[F.lit(x) for x in [*languages, UNKNOWN]]), F.array_position("p", F.array_max("p")).cast("int"))
     out = out.withColumn("lang", F.when(mute, F.lit(UNKNOWN)).otherwise(name))
-    return out.select(*keys, "lang", F.round(F.array_max("post"), 6).alias("posterior"), text_name.alias("text_lang"), (F.col("lang") != UNKNOWN).alias("kept"))
+    return out.select(*keys, "lang", F.round(F.array_max("post"), 6).alias("posterior"), text_name.alias("text_lang"), ((F.col("lang") != UNKNOWN) | F.lit(not languages)).alias("kept"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -207,7 +218,10 @@ def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those whose language is rejected."""
-    languages, tables = train(docs)
-    rows = document_evidence(docs).withColumn("_print", F.xxhash64("text"))
-    gone = identify(rows, languages, tables).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_print").alias("_p"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_p")), "left_anti")
+    rows = stored(docs)
+    languages, tables = train(rows)
+    numbered = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    none = F.lit(None).cast("string")
+    evidence = numbered.select("row", "doc.text", F.col("doc.source").alias("host"), none.alias("declared"), none.alias("suffix"))
+    gone = durable(identify(evidence, languages, tables).filter(~F.col("kept")).select(F.col("row").alias("gone")))
+    return numbered.join(gone, F.col("row") == F.col("gone"), "left_anti").select("doc.*")

@@ -10,8 +10,9 @@ Equal fingerprints are folded first: one table row stands for all copies, whatev
 between different fingerprints only. A pair seen in two segments is kept by the first, without a distinct.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; component_id
-ignores null doc_ids (null when a whole component has none); repeated rows count as separate documents; an empty
-table gives an empty result.
+ignores null doc_ids (null when a whole component has none); repeated rows count as separate documents; a bit set in
+exactly half the shingles is 0; a text of any length is hashed whole; an empty table gives an empty result; other
+columns pass through `drop_near_duplicates` untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, read, text_or_empty, words
+from .common import ascii_lower, durable, read, stored, text_or_empty, words
 from .components import components
 
 WIDTH, MAX_BITS, SEGMENTS = 3, 3, 2
@@ -91,15 +92,17 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, a stored table, with one row of each component: that of the least doc_id, null last, then of the least row
-    number. Rows are told apart by their number, so rows without a doc_id and rows that share one are never confused."""
-    prints = durable(fingerprints(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at")), ["doc_id", "_at"]))
-    table = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_at")).alias("first")))
+    """docs with one row of each component: that of the least doc_id, null last, then of the least row number. Rows are
+    told apart by their number, so rows without a doc_id and rows that share one are never confused. Columns pass
+    through untouched, whatever their names."""
+    rows = stored(docs)
+    numbered = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("doc"), F.monotonically_increasing_id().alias("at"))
+    prints = durable(fingerprints(numbered.select("doc.doc_id", "doc.text", "at"), ["doc_id", "at"]))
+    table = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")).alias("first")))
     roots = components(durable(near_pairs(table.select("fp"))))
     rooted = table.join(roots, table.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._at").alias("_keep"))
-    numbered = docs.select("*", F.monotonically_increasing_id().alias("_stored_row"))
-    return numbered.join(keep, F.col("_stored_row") == F.col("_keep"), "left_semi").drop("_stored_row")
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("keep"))
+    return numbered.join(keep, F.col("at") == F.col("keep"), "left_semi").select("doc.*")
 
 
 def op6_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
