@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-Three fixed kinds (assign, access, hex) give the base spans. The method adds kind `markov`: every run of 20 or more
+Three fixed kinds (assign, access, hex) give the base spans. The method adds kind `markov`: every run of MIN_RUN or more
 characters of [A-Za-z0-9+/_=-] is scored by two first-order character models, one of random strings and one of
 ordinary identifiers. A segment of the run is a secret when its log-likelihood ratio reaches `MARGIN`; two segments
 are apart when what lies between them speaks as much for an ordinary text. Ordinary words before or after a secret
@@ -8,15 +8,18 @@ thus take nothing from it. Between signs like / _ = - a word at either end belon
 the segment holds less than half of it, so no end of a secret is left.
 What base spans leave of a run is scored piece by piece, whatever its length.
 
-The models are trained by a grouped count of character pairs over labelled samples: (text, secret). `samples()`
-makes a labelled set from digests and from a list of ordinary words; callers may pass their own. Pair counts are
-a table of at most 2 * 128 * 128 rows, which becomes a literal array of ratios.
+The models are trained by a grouped count of character pairs over labelled samples: (text, secret). `corpus_samples()`
+takes them from the documents: values under a base pattern are secrets, words outside of them are ordinary; at most
+SAMPLE_ROWS documents of least hash give at most SAMPLE_WORDS of either. `samples()` adds digests and identifiers made
+of a list of words, since a corpus may hold few. Pair counts are a table of at most 2 * 128 * 128 rows, which becomes a
+literal array of ratios. Only the models come from a sample: every text is scanned whole.
 
 Positions are code points, from the lengths of the pieces between matches. Only the lengths leave a row, never the
 text, and running totals are taken by a window over a row's matches, so time is linear in the text.
 
-Defined results: null text counts as empty, has no spans and keeps its row; repeated rows are separate rows; a
-non-ASCII character never belongs to a markov run; an empty table gives an empty result.
+Defined results: null text counts as empty, has no spans and keeps its row; repeated rows are separate rows; spans that
+start together go by kind; a non-ASCII character never belongs to a markov run; a run shorter than MIN_RUN without a base
+span is no secret, whatever it looks like; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,21 +29,22 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import constants, read, text_or_empty
+from .common import constants, read, stored, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> pattern, group whose length counts, least length; in the order in which kinds are listed. Runs of one
 #: class of characters may ask for their least length in the pattern: the same runs match. Assignments may not.
 BASE = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]{16,}", 0, 20), "hex": ("[0-9a-f]{24,}", 0, 24)}
 KINDS = [*BASE, "markov"]
-RUN = "[A-Za-z0-9+/_=-]{20,}"
-MARGIN = 8.0
+#: Characters of the shortest run that may be a secret: a random string of 12 reaches MARGIN in 96 % of cases or more.
+MIN_RUN, MARGIN = 12, 8.0
+SAMPLE_ROWS, SAMPLE_WORDS = 2000, 4000
 MASK = "[SECRET]"
 #: Stands for the characters of base spans while the rest of their runs is scored; it belongs to a run and to no secret.
 BLANK = "\ue000"
-LEFT = "[A-Za-z0-9+/_=\ue000-]{20,}"
+LEFT = f"[A-Za-z0-9+/_=\ue000-]{{{MIN_RUN},}}"
 #: What redaction scans when base secrets are masked: runs, and pieces of any length beside a mask.
-BESIDE = r"[A-Za-z0-9+/_=-]{20,}|(?<=\[SECRET\])[A-Za-z0-9+/_=-]+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]++(?=\[SECRET\])"
+BESIDE = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}" + r"|(?<=\[SECRET\])[A-Za-z0-9+/_=-]+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]++(?=\[SECRET\])"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _WORDS = (
     "account active address alpha amount analysis application argument array attribute audio backup base batch block body branch browser buffer build "
@@ -88,6 +92,29 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     return random.unionByName(plainly)
 
 
+def corpus_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, n: int = SAMPLE_WORDS) -> DataFrame:
+    """(text, secret): at most n secrets under a base pattern and n distinct words of `rows` documents of docs(doc_id,
+    text), those of the least hash."""
+    numbered = stored(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
+    picked = numbered.select("row", F.xxhash64("doc_id", "row").alias("h")).orderBy("h", "row").limit(rows)
+    texts = numbered.join(F.broadcast(picked.select("row")), "row", "left_semi")  # at most `rows` numbers
+    rest = F.col("text")
+    for pattern, _, _ in BASE.values():
+        rest = F.regexp_replace(rest, pattern, " ")
+    values = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g, _ in BASE.values()])
+
+    def least(words: Column, size: int, secret: bool) -> DataFrame:
+        each = texts.select(F.explode(words).alias("text")).filter(F.length("text") >= size).distinct()
+        return each.orderBy(F.xxhash64("text"), "text").limit(n).withColumn("secret", F.lit(secret))
+
+    return least(values, MIN_RUN, True).unionByName(least(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0)), 6, False))
+
+
+def trained(docs: DataFrame) -> list[float]:
+    """The table of ratios for docs: from its own labelled samples and the generated ones."""
+    return train(samples(docs.sparkSession).unionByName(corpus_samples(docs)))
+
+
 def train(labelled: DataFrame) -> list[float]:
     """labelled(text, secret) -> 128 * 128 log ratios of P(next | character), random over ordinary; add-half smoothed."""
     chars = labelled.filter(F.col("text").isNotNull() & F.col("secret").isNotNull()).select("secret", F.split("text", "").alias("c"))
@@ -220,11 +247,12 @@ def spans(docs: DataFrame, table: list[float], keep: list[str]) -> DataFrame:
 
 
 def redact(docs: DataFrame, table: list[float]) -> DataFrame:
-    """docs with every secret in text replaced by MASK; of an assignment only the value goes. Null text stays null."""
-    out = docs
-    whole = F.col("_m")
+    """docs with every secret in text replaced by MASK; of an assignment only the value goes. Null text stays null, and
+    other columns pass through untouched, whatever their names."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    whole = F.col("m")
     for pattern, group, least in BASE.values():
-        out = out.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        out = out.withColumn("m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
         inner = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
         pieces = F.arrays_zip(F.split("text", pattern).alias("g"), whole.alias("m"), inner.alias("v"))
         head = (lambda x: F.substring(x.m, F.lit(1), F.length(x.m) - F.length(x.v))) if group else (lambda x: F.lit(""))
@@ -236,10 +264,10 @@ def redact(docs: DataFrame, table: list[float]) -> DataFrame:
         kept = F.transform(x.o, lambda s, i: F.concat(F.substring(x.m, after(i) + 1, s.a - after(i)), F.lit(MASK)))
         return F.concat(x.g, F.array_join(kept, ""), F.coalesce(F.substring(x.m, after(F.size(x.o)) + 1, F.length(x.m)), F.lit("")))
 
-    out = out.withColumn("_m", F.transform(F.regexp_extract_all("text", F.lit(BESIDE), F.lit(0)), lambda m: F.struct(m.alias("m"), segments(m, table).alias("o"))))
+    out = out.withColumn("m", F.transform(F.regexp_extract_all("text", F.lit(BESIDE), F.lit(0)), lambda m: F.struct(m.alias("m"), segments(m, table).alias("o"))))
     pieces = F.transform(F.arrays_zip(F.split("text", BESIDE).alias("g"), whole.alias("r")), lambda x: F.struct(x.g.alias("g"), x.r.m.alias("m"), F.coalesce(x.r.o, F.array().cast("array<struct<a:int,b:int>>")).alias("o")))
     out = out.withColumn("text", F.when(F.size(whole) > 0, F.array_join(F.transform(pieces, masked), "")).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -248,7 +276,8 @@ def _joined(spans: Column) -> Column:
 
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans(read(spark, sf_dir, "documents"), train(samples(spark)), ["doc_id"])
+    docs = read(spark, sf_dir, "documents")
+    found = spans(docs, trained(docs), ["doc_id"])
     count = lambda k: F.size(F.filter("spans", lambda x: x.kind == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x.kind < len(BASE))
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
