@@ -17,7 +17,8 @@ is not exact (special tokens, letters whose lower case changes their number, den
 the tokenizer.
 
 Defined results: null text counts as empty and yields its end id alone; null doc_ids pass through; repeated rows
-are separate documents; an empty table gives an empty result.
+are separate documents, in stored order; a long text is cut over as many sequences as it fills; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .common import durable, read
 LENGTH, END_ID = 2048, 1
 #: Distinct pre-tokens that a worker remembers from batch to batch.
 CACHE = 250_000
-#: One row a split of the table; beyond this many they are joined by shuffle, not broadcast.
-MAX_BROADCAST_PARTS = 1_000_000
+#: Bytes of text that a worker encodes at a time.
+AT_ONCE = 8 << 20
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -164,10 +165,10 @@ def encoder(path: str, end_id: int) -> Callable:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from .arrowtext import slices
+
         encode, part, before, run, last = WordEncoder(path), TaskContext.get().partitionId(), 0, 0, None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x for whole in batches for x in slices(whole, "text", AT_ONCE)):
             file, block = b.column("file").dictionary_encode(), b.column("block").to_numpy()
             at, ends = file.indices.to_numpy(), [(file.dictionary[int(file.indices[i].as_py())].as_py(), int(block[i])) for i in (0, -1)]
             new = np.concatenate([[last is not None and ends[0] != last], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])
@@ -178,8 +179,10 @@ def encoder(path: str, end_id: int) -> Callable:
             ids = np.insert(ids, stops, np.uint16(end_id))
             n = n + 1
             stops = np.cumsum(n)
-            offsets = np.concatenate([[0], stops * 2]).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u2"))])
+            offsets = np.concatenate([[0], stops * 2])
+            if offsets[-1] >= 1 << 31:  # a single text of a gigabyte or more
+                raise ValueError("a text has too many tokens for one row")
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u2"))])
             columns = {"part": pa.array(np.full(len(n), part, dtype=np.int32)), "run": pa.array(runs.astype(np.int32)), "file": b.column("file"), "block": b.column("block"), "before": pa.array(before + stops - n), "doc_id": b.column("doc_id"), "n": pa.array(n), "ids": data}
             yield pa.RecordBatch.from_pydict(columns)
             before += int(stops[-1])
@@ -240,8 +243,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
     order = Window.orderBy(number, "file", "block", "part", "run").rowsBetween(Window.unboundedPreceding, -1)
     starts = durable(totals.select("part", "run", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("least")).alias("first")))
-    if starts.count() <= MAX_BROADCAST_PARTS:
-        starts = F.broadcast(starts)
+    # one row for each unbroken stretch of a split: the optimizer knows the size of the stored table
     placed = coded.join(starts, ["part", "run"]).select("doc_id", "n", "ids", (F.col("first") + F.col("before")).alias("place"))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return placed.mapInArrow(cutter(length, with_ids), schema)

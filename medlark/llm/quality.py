@@ -6,9 +6,12 @@ class prior, without any true label; a pattern's posterior labels its documents.
 regression on word and word-shape frequencies, is trained on the posteriors and scores every whole text.
 
 The scorer is fitted on `TRAIN_ROWS` documents at most, those of the least hash; counts, votes and scores cover all.
+The texts are read twice, since scores need the model that all votes make: once for votes, once for scores.
 
 Defined results: null text counts as empty; a text without words gets votes like any other and the scorer's bias;
-null doc_ids and repeated rows pass through; an empty table gives an empty result.
+null doc_ids and repeated rows pass through, each with its own result; of documents with equal hashes the one stored
+first is fitted on; a document whose posterior and score add up to exactly 2 KEEP is kept; a text of any length is
+read whole, in slices; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import durable, read, stored
 
 TRAIN_ROWS, BITS, EPOCHS, RATE, DECAY = 6000, 16, 300, 1.0, 1e-4
 #: Bytes of text that a worker takes at a time.
@@ -148,7 +151,9 @@ def hashed(texts) -> list:
 def _hash(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    from .arrowtext import slices
+
+    for b in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
         rows = hashed(b.column("text"))
         yield pa.RecordBatch.from_pydict({"p": b.column("p"), "bins": pa.array([r[0] for r in rows], type=pa.list_(pa.int64())), "shares": pa.array([r[1] for r in rows], type=pa.list_(pa.float64()))})
 
@@ -199,14 +204,14 @@ def scorer(weights, bias: float) -> Callable:
 def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, votes, posterior (of good, by the labellers), score (by the scorer), kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = stored(docs.select("doc_id", "text")).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     voted = durable(rows.mapInArrow(_vote, f"doc_id {kind}, _row long, votes string"))
     patterns = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}  # at most 3 ** 8 rows
     post, _, _ = fit_votes(patterns)
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(list(post.items()), "votes string, posterior double"))
     sample = voted.join(table, "votes").orderBy(F.xxhash64("doc_id"), "_row").select("_row", F.col("posterior").alias("p")).limit(train_rows)
-    fit = rows.join(F.broadcast(sample), "_row").select("p", "text").mapInArrow(_hash, "p double, bins array<long>, shares array<double>")
+    fit = rows.join(F.broadcast(sample), "_row").select("p", "text").mapInArrow(_hash, "p double, bins array<long>, shares array<double>")  # at most train_rows
     weights, bias = fit_scorer([tuple(r) for r in fit.toLocalIterator()])
     scored = rows.mapInArrow(scorer(weights, bias), f"doc_id {kind}, _row long, votes string, score double")
     kept = (F.col("posterior") + F.col("score")) / 2 >= KEEP

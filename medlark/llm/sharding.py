@@ -12,7 +12,8 @@ rank intervals by segment, broadcast under that same bound; a document's rank wi
 interval, shard and slot.
 
 Defined results: null text has size 8 and the CRC of the empty text; a null doc_id is placed by the hash of its
-text; repeated rows are separate keys and get their own slots; an empty table gives an empty result.
+text; repeated rows are separate keys and get their own slots; of keys at one position any order may hold among equal
+rows; a text of any length counts by its whole bytes; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

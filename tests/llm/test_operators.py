@@ -41,6 +41,38 @@ def test_sharding(spark, corpus, rows):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
 
 
+def test_sharding_is_a_clockwise_walk(spark):
+    """Every key, in rounds: those still waiting, by segment and rank, ask the next different shard clockwise."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    shards, vnodes = 5, 3
+    keys = spark.range(700).select("id", F.xxhash64("id").alias("position"))
+    got = {r.id: r.shard for r in sharding.shard(keys, shards=shards, vnodes=vnodes).collect()}
+    points = sharding.ring(shards, vnodes)
+    cuts = [a for _, a, _, _ in sharding.segments(points)]
+    position = {r.id: r.position for r in keys.collect()}
+    home = {i: bisect.bisect_left([p for p, _ in points], x) % len(points) for i, x in position.items()}
+    order = {i: list(dict.fromkeys(s for _, s in points[h:] + points[:h])) for i, h in home.items()}
+    demand = Counter(order[i][0] for i in position)
+    room = dict.fromkeys(range(shards), 700 // shards)
+    for s in sorted(range(shards), key=lambda s: (-demand[s], s))[: 700 % shards]:
+        room[s] += 1
+    waiting, want = sorted(position, key=lambda i: (bisect.bisect_right(cuts, position[i]), position[i])), {}
+    for r in range(shards):
+        left = []
+        for i in waiting:
+            s = order[i][r]
+            if room[s]:
+                room[s] -= 1
+                want[i] = s
+            else:
+                left.append(i)
+        waiting = left
+    assert got == want
+
+
 def test_sharding_moves_little(spark):
     from pyspark.sql import functions as F
 
@@ -268,6 +300,70 @@ def test_language_accuracy_and_rejection(spark):
     assert not found[900].kept
 
 
+def test_language_fusion_equals_brute_force(spark):
+    import numpy as np
+
+    docs = [(i, ("le chat dort sur le tapis " if i % 3 else "the cat sat on the mat ") * (1 + i % 4), "fr" if i % 3 else "en") for i in range(60)]
+    rows = [(i, t if i % 5 else t[:4], f"h{i % 4}.a.fr" if i % 3 else ("b.com" if i % 2 else None), [None, "fr", "en", "xx"][i % 4], [None, "fr"][i % 2]) for i, t, _ in docs]
+    rows += [(100, None, None, None, None), (101, "", "new.a.fr", None, None)]
+    frame = spark.createDataFrame(rows, "id long, text string, host string, declared string, suffix string")
+    languages, tables = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert languages == ["en", "fr"]
+    n = 3
+
+    def ll(text):
+        raw = [32 if b < 65 and b != 10 else b for b in (text or "").lower().encode()]
+        bins = [((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> (32 - language.BINS_BITS) for a, b, c in zip(raw, raw[1:], raw[2:])]
+        return np.array([*[sum(float(t[b]) for b in bins) for t in tables], len(bins) * -math.log(1 << language.BINS_BITS)])
+
+    def normal(x):
+        w = np.exp(x - x.max())
+        return w / w.sum()
+
+    prior = np.log([0.49, 0.49, 0.02])
+    texts = [ll(r[1]) for r in rows]
+    p = [normal(x * language.TEMPER + prior) for x in texts]
+    domain = lambda h: h and re.search(r"([^.]+\.[^.]+)$", h)[1]
+    said = lambda v: None if v is None else v if v in languages else "other"
+    base = (sum(p) + 1) / (len(p) + n)
+    heard = {}
+    for c in (3, 4):
+        total = {v: sum((x for x, r in zip(p, rows) if said(r[c]) == v), np.zeros(n)) for v in ("en", "fr", "other")}
+        heard[c] = {v: np.log((t + 1) / (sum(total.values()) + 3)) for v, t in total.items()}
+    want = {}
+    for r, x, own in zip(rows, texts, p):
+        smooth = lambda same, below, k: (lambda left: (left + k * below) / (left.sum() + k))(np.maximum(sum((q for q, s in zip(p, rows) if same(s)), np.zeros(n)) - own, 0))  # noqa: B023, E731
+        by_domain = smooth(lambda s: domain(s[2]) == domain(r[2]), base, language.DOMAIN_STRENGTH)  # noqa: B023
+        by_host = base if r[2] is None else smooth(lambda s: s[2] == r[2], by_domain, language.HOST_STRENGTH)  # noqa: B023
+        post = normal(x * language.TEMPER + np.log(by_host) + sum(heard[c][said(r[c])] if said(r[c]) else np.zeros(n) for c in (3, 4)))
+        mute = not (r[1] or "") and not any(r[2:])
+        want[r[0]] = ("und" if mute else ["en", "fr", "und"][int(post.argmax())], round(float(post.max()), 4))
+    got = {r.id: (r.lang, round(r.posterior, 4)) for r in language.identify(frame, languages, tables).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-4 for k in want)
+
+
+def test_priors_help_where_text_is_short(spark, sf_dir):
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null and lang is not null").orderBy("doc_id").collect() if len(r.text.split()) > 20]
+    languages, tables = language.train(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs], "doc_id long, text string, lang string"))
+    short = [(r.doc_id, r.text.split()[i % 20], f"www.{r.lang}{r.doc_id % 2}.org", None, None) for r in docs for i in range(0, 20, 4)]
+    full = [(None, r.text, f"www.{r.lang}{r.doc_id % 2}.org", None, None) for r in docs]
+    frame = spark.createDataFrame(short + full, "doc_id long, text string, host string, declared string, suffix string")
+    truth = {r.doc_id: r.lang for r in docs}
+    got = [r for r in language.identify(frame, languages, tables).collect() if r.doc_id is not None]
+    fused, alone = (sum(r[c] == truth[r.doc_id] for r in got) / len(got) for c in ("lang", "text_lang"))
+    assert fused > 0.98 and fused > alone + 0.05
+
+
+def test_languages_are_not_cut_and_none_is_no_ground_to_reject(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i:02d}") for i in range(50)] + [(900 + i, "l00 text", "l00") for i in range(3)]
+    languages, _ = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=2)
+    assert languages == sorted({r[2] for r in rows})
+    docs = spark.createDataFrame([(i, f"text {i}", None, "s", "x") for i in range(5)], "doc_id long, text string, lang string, source string, row string")
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 5
+
+
 def test_declared_language_and_host_decide_where_text_is_silent(spark):
     rows = [(i, "le chat dort sur le tapis avec un chapeau " * 2, "a.fr", "fr", "fr") for i in range(30)] + [(i, "the cat sat on the mat with a hat " * 2, "b.com", "en", None) for i in range(30, 60)]
     rows += [(60, "", "a.fr", "fr", "fr"), (61, None, "b.com", None, None)]
@@ -289,6 +385,36 @@ def test_mixing(spark, corpus):
     assert sum(len(WORD.findall(r.text)) for r in rows) == sum(r.taken for r in got)
 
 
+def test_mixing_with_hot_and_many_sources(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i % 40, " ".join(["w"] * (i * 7 % 23)), None if i % 2 else f"s{i * i % 61}") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    same(mixing.op8_curriculum_mix(spark, str(tmp_path)), str(tmp_path), mixing.OP8_SQL)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["size", "_key", "target", "quota", "source_size", "_rank", "_m", "m", "doc", "row", "part", "key", "n", "turn", "at", "fp", "mix_position"]
+    docs = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} token=abcdef{i}", "s", *[f"{i}-{c}" for c in names]) for i in range(8)], f"doc_id long, text string, source string, {', '.join(f'`{c}` string' for c in names)}")
+    table = secrets.train(secrets.samples(spark, 200))
+    for out in (simhash.drop_near_duplicates(docs), secrets.redact(docs, table), mixing.mix(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) >= 8
+        for r in got:
+            assert all(r[c] == f"{r.doc_id}-{c}" for c in names[:-1])
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from medlark.llm import common
+
+    rows = [(i * 37 % 101, i % 5) for i in range(101)]
+    got = common.running(spark.createDataFrame(rows, "k long, v long"), [F.col("k").asc()], {"s": F.col("v"), "n": F.lit(1)}).collect()
+    assert {(r.k, r.s, r.n) for r in got} == {(k, sum(v for j, v in rows if j < k), k) for k, _ in rows}
+    plain = spark.read.parquet(common.durable(spark.range(5)).inputFiles()[0])
+    assert common.stored(plain) is plain and common.stored(plain.distinct()) is not plain
+    assert common.release(spark) >= 1 and common.release(spark) == 0
+
+
 def test_secrets(spark, corpus, rows):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -323,15 +449,47 @@ def test_a_secret_inside_a_run_is_found_beside_ordinary_words_and_base_spans(spa
     assert [clean[i] for i in range(len(texts))] == want
 
 
-def test_secret_models_on_held_out_samples(spark):
+def test_secret_models_on_held_out_samples(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    rows = secrets.samples(spark, 1500).withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(4)))
+    rows = secrets.samples(spark, 1500).unionByName(secrets.corpus_samples(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(4)))
     table = secrets.train(rows.filter("_h != 0"))
-    held = rows.filter("_h = 0 and length(text) >= 20").select("secret", (secrets.ratio(F.col("text"), table) >= secrets.MARGIN).alias("said")).collect()
+    held = rows.filter(f"_h = 0 and length(text) >= {secrets.MIN_RUN}").select("secret", (secrets.ratio(F.col("text"), table) >= secrets.MARGIN).alias("said")).collect()
     assert sum(r.secret == r.said for r in held) / len(held) > 0.97
 
 
+def test_planted_secrets_in_the_query(spark, tmp_path, sf_dir):
+    import random
+
+    random.seed(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    spans_of = lambda t: [(m.start(), k, m.end()) for k, (p, g, n) in enumerate(secrets.BASE.values()) for m in re.finditer(p, t) if len(m[g]) >= n]
+    texts, planted = [], {}
+    for i, t in enumerate(plain):
+        t = " ".join(t.split()[:200])
+        if i % 2 and not spans_of(t):
+            token = "".join(random.choice(alphabet) for _ in range(random.randint(14, 40)))
+            cut = t.find(" ") + 1
+            planted[i] = (cut, cut + len(token))
+            t = f"{t[:cut]}{token} {t[cut:]}"
+        texts.append(t)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op9_markov_secrets(spark, str(tmp_path)).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        r, base = got[i], sorted(spans_of(t))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        found = [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in r.spans.split(",") if x]
+        assert [(secrets.KINDS[k], a, b) for a, k, b in base] == [x for x in found if x[0] != "markov"]
+        extra = [x[1:] for x in found if x[0] == "markov"]
+        assert len(extra) == r.n_markov and set(extra) <= ({planted[i]} if i in planted else set())
+        hits += bool(extra)
+    assert len(planted) > 20 and hits >= 0.95 * len(planted)
+
+
 def test_packing(spark, corpus, rows):
     from tokenizers import Tokenizer
 
@@ -404,6 +562,39 @@ def test_quality(spark, corpus, sf_dir):
     assert sum(r.kept == (r.quality == 1) for r in gold) / len(gold) > 0.85
 
 
+def test_quality_equals_brute_force(spark, corpus, rows):
+    texts = [r[1] or "" for r in rows]
+
+    def vote(t):
+        w = WORD.findall(lower(t))
+        n, chars, lines = max(len(w), 1), max(len(t), 1), t.split("\n")
+        f = [
+            len(re.findall(r"[#$%&*<>{}\[\]\\^~|=+@]", t)) / chars, len(w), sum(map(len, w)) / n, len(re.findall("[A-Z]", t)) / chars, t.count(" | ") / n,
+            len(set(lines)) / len(lines) if len(lines) > 3 else 1.0, len(re.findall(r"[.!?](?:\s|$)", t)) / n, sum(x in quality._FUNCTION for x in w) / n,
+        ]
+        rules = [(f[0] > 0.03, f[0] < 0.005), (f[1] < 5, f[1] >= 40), (f[2] < 3 or f[2] > 11, 4 < f[2] < 9), (f[3] > 0.3, f[3] < 0.08), (f[4] > 0.05, f[4] > 1), (f[5] < 0.7, f[5] > 0.95), (f[6] > 0.4 or f[6] < 0.005, 0.02 < f[6] < 0.25), (f[7] < 0.05, f[7] > 0.15)]
+        return "".join("-" if bad else "+" if good else "0" for bad, good in rules)
+
+    post, _, _ = quality.fit_votes(dict(Counter(map(vote, texts))))
+
+    def shares(t):
+        out, w = Counter(), WORD.findall(t)
+        for x in w:
+            shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", re.sub(r"[^\W\d_A]", "a", re.sub("[A-ZÀ-ÖØ-Þ]", "A", x))))
+            for h in (x, "\0" + shape):
+                out[xxhash.xxh3_64_intdigest(h) & 0xFFFF] += 1 / len(w)
+        return sorted(out.items())
+
+    weights, bias = quality.fit_scorer([(post[vote(t)], [b for b, _ in shares(t)], [v for _, v in shares(t)]) for t in texts])
+    score = lambda t: 1 / (1 + math.exp(-(sum(float(weights[b]) * v for b, v in shares(t)) + bias)))
+    want = sorted(((key(r[0]), vote(t), round(post[vote(t)], 4), score(t)) for r, t in zip(rows, texts)), key=lambda r: (r[:3], round(r[3], 2)))
+    got = sorted(((key(r.doc_id), r.votes, round(r.posterior, 4), r.score) for r in quality.op5_weak_quality(spark, corpus).collect()), key=lambda r: (r[:3], round(r[3], 2)))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-3)
+    kept = {r.kept == ((r.posterior + r.score) / 2 >= quality.KEEP) for r in quality.op5_weak_quality(spark, corpus).collect()}
+    assert kept == {True}
+
+
 def test_vote_model_recovers_labellers():
     import random
 
