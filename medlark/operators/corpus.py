@@ -74,9 +74,13 @@ def coverage(facts: DataFrame, fields: DataFrame) -> DataFrame:
     return known.join(seen, "field", "full_outer").select("field", F.coalesce("patients", F.lit(0)).alias("patients"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def pivot_scores(results: DataFrame) -> DataFrame:
-    """results(grp, method, label, f1) -> mean F1 of each group by method."""
-    methods = sorted(r[0] for r in results.select("method").distinct().limit(100).collect())
+def pivot_scores(results: DataFrame, methods: list[str] | None = None, most: int = 1000) -> DataFrame:
+    """results(grp, method, label, f1) -> mean F1 of each group by method, a column for each. Methods not given are
+    looked up; more than `most` can't be columns and are an error."""
+    if methods is None:
+        methods = sorted(r[0] for r in results.select("method").distinct().limit(most + 1).collect())
+        if len(methods) > most:
+            raise ValueError(f"more than {most} methods")
     return results.groupBy("grp").pivot("method", methods).agg(F.round(F.avg("f1"), 6))
 
 
@@ -105,16 +109,24 @@ def merged_annotations(facts: DataFrame) -> DataFrame:
     return facts.filter("value is not null").groupBy("patient_id", "field").agg(F.max_by("value", F.struct("doc_id", "seq")).alias("value"))
 
 
-_MEDICAL = "tumeur gliome glioblastome astrocytome irm chirurgie exérèse radiothérapie chimiothérapie patient patiente traitement lésion nécrose grade mutation".split()
-_ENGLISH = "the of and is was with for this that patient has been are were from".split()
+_MEDICAL = sorted(
+    "gliome glioblastome astrocytome oligodendrogliome tumeur biopsie chirurgie histologique immunohistochimie moléculaire anatomopathologie diagnostic examen "
+    "irm scanner imagerie radiothérapie chimiothérapie traitement oncologie neurologie médecin clinique hôpital service consultation patiente patient".split()
+)
+_ENGLISH = sorted("about are been being could from has have into is should that the their there these they this those was were which will with would".split())
+#: Traces of a prompt in a generated text.
+LEAKS = ("field_name", "document_text", "annotation", "json", "span")
 
 
-def language_quality(text: Column) -> Column:
-    """reject, review or pass: traces of a prompt; fewer than five medical words; over a tenth of English ones."""
+def language_quality(text: Column, leaks: tuple = LEAKS) -> Column:
+    """reject or pass: traces of a prompt, fewer than five different medical words, or over a tenth of English ones."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    has = lambda names: F.size(F.filter(words, lambda w: w.isin(names)))
-    english = has([w for w in _ENGLISH if w != "patient"]) / F.greatest(F.size(words), F.lit(1))
-    return F.when(F.lower(text).rlike("as an ai|json|```|prompt"), "reject").when(english > 0.1, "reject").when(has(_MEDICAL) < 5, "review").otherwise("pass")
+    leak = F.lit(False)
+    for x in leaks:
+        leak = leak | F.lower(text).contains(x)
+    medical = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in _MEDICAL])))
+    english = F.size(F.filter(words, lambda w: w.isin(_ENGLISH))) / F.greatest(F.size(words), F.lit(1))
+    return F.when(leak | (medical < 5) | (english > 0.1), "reject").otherwise("pass")
 
 
 def coherent_dates(profile: Column) -> Column:

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ALTERATION = 0.5
-_MONTHS = {
-    1: "janvier janv jan", 2: "février fevrier févr fevr fév fev", 3: "mars", 4: "avril avr", 5: "mai", 6: "juin", 7: "juillet juill juil",
-    8: "août aout", 9: "septembre sept", 10: "octobre oct", 11: "novembre nov", 12: "décembre decembre déc dec",
-}
-MONTHS = {name: m for m, names in _MONTHS.items() for name in names.split()}
-
+from medlark.functions.months import month_number
+from medlark.functions.similarity import ratio
 
-def month_number(name: Column) -> Column:
-    table = F.create_map(*[x for n, m in MONTHS.items() for x in (F.lit(n), F.lit(m))])
-    return F.try_element_at(table, F.lower(name))
+ALTERATION = 0.5
+#: Free-text fields whose values count as equal from this indel ratio on.
+FUZZY = 85.0
+FUZZY_FIELDS = sorted(
+    "histo_mitoses ihc_ki67 chimios autre_trouble infos_deces localisation_chir localisation_radiotherapie tumeur_position diag_integre diag_histologique "
+    "neurochirurgien neuroncologue radiotherapeute activite_professionnelle".split()
+)
 
 
 def canonical_date(s: Column) -> Column:
@@ -45,7 +44,8 @@ def comparable(v: Column) -> Column:
 def confusion(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """gold, predicted(doc_id, field, value[, tier]) -> a row for each gold entry with tp, tn, hallucination,
     omission, alteration (0 or 1) and the tier. Predictions without a gold entry don't count. Dates compare at
-    the coarser granularity, drug lists whatever their order."""
+    the coarser granularity, drug lists whatever their order; values of FUZZY_FIELDS and the variants within `mute (..)`
+    need be alike only, and a bare `mute` in gold takes any variant."""
     tier = F.col("tier") if "tier" in predicted.columns else F.lit("rule")
     p = predicted.select("doc_id", "field", F.col("value").alias("_p"), tier.alias("tier"))
     rows = gold.select("doc_id", "field", F.col("value").alias("_g")).join(p, ["doc_id", "field"], "left")
@@ -57,6 +57,12 @@ def confusion(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     same = F.when(F.col("_pd").isNotNull() & F.col("_gd").isNotNull(), F.substring("_pd", F.lit(1), n) == F.substring("_gd", F.lit(1), n)).when(both, listed(F.col("_p")) == listed(F.col("_g"))).when(
         (F.col("_g") == "mute") & F.col("_p").startswith("mute ("), F.lit(True)
     ).otherwise(F.col("_p").eqNullSafe(F.col("_g")))
+    # Python sees only the pairs that the rest leaves open
+    variants = F.col("_p").startswith("mute (") & F.col("_g").startswith("mute (")
+    open_pair = F.col("_p").isNotNull() & F.col("_g").isNotNull() & ~same & (variants | F.col("field").isin(FUZZY_FIELDS))
+    inner = lambda c: F.when(open_pair, F.when(variants, F.substring(c, F.lit(7), F.length(c) - 7)).otherwise(c))
+    rows = rows.withColumns({"_same": same, "_a": inner(F.col("_p")), "_b": inner(F.col("_g"))}).withColumn("_alike", ratio("_a", "_b"))
+    same = F.col("_same") | F.coalesce(F.col("_alike") >= FUZZY, F.lit(False))
     some, none = F.col("_g").isNotNull(), F.col("_g").isNull()
     flag = lambda c: c.cast("int")
     return rows.select(
@@ -78,10 +84,28 @@ def rates() -> list[Column]:
 
 
 def by_field(rows: DataFrame) -> DataFrame:
-    """Counts, rates and the most frequent tier of each field (the least on ties)."""
-    tiers = rows.groupBy("field", "tier").agg(F.count("*").alias("n")).groupBy("field").agg(F.min_by("tier", F.struct(-F.col("n"), F.col("tier"))).alias("main_tier"))
-    sums = rows.groupBy("field").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return sums.join(tiers, "field").select("field", *COUNTS, "main_tier", *rates())
+    """Counts, rates and the most frequent tier of each field (the least on ties), from one count by field and tier."""
+    by = rows.groupBy("field", "tier").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in COUNTS])
+    sums = by.groupBy("field").agg(*[F.sum(c).alias(c) for c in COUNTS], F.min_by("tier", F.struct(-F.col("n"), F.col("tier"))).alias("main_tier"))
+    return sums.select("field", *COUNTS, "main_tier", *rates())
+
+
+def macro_by_mode(gold: DataFrame, predicted: DataFrame, least: float = 80.0) -> DataFrame:
+    """gold(doc_id, field, value), predicted(mode, doc_id, field, value) -> mode, fields, exact, relaxed: macro F1 over
+    the fields with anything to count. Blank values count as none; relaxed takes values of FUZZY_FIELDS from an indel
+    ratio of `least` on, others when equal. A pair that differs is a false positive and a false negative."""
+    modes = predicted.select("mode").distinct()
+    g = gold.select("doc_id", "field", comparable(F.col("value")).alias("g")).filter("g is not null")
+    p = predicted.select("mode", "doc_id", "field", comparable(F.col("value")).alias("p")).filter("p is not null")
+    wanted = g.join(F.broadcast(modes))  # a row for each of the few modes
+    rows = wanted.join(p, ["mode", "doc_id", "field"], "full_outer")
+    unequal = F.col("p").isNotNull() & F.col("g").isNotNull() & (F.col("p") != F.col("g")) & F.col("field").isin(FUZZY_FIELDS)
+    rows = rows.withColumn("_alike", ratio(F.when(unequal, F.col("p")), F.when(unequal, F.col("g"))))
+    exact = F.coalesce((F.col("p") == F.col("g")).cast("int"), F.lit(0))
+    relaxed = F.greatest(exact, F.coalesce((F.col("_alike") >= least).cast("int"), F.lit(0)))
+    sums = rows.groupBy("mode", "field").agg(F.sum(exact).alias("e"), F.sum(relaxed).alias("r"), F.count("p").alias("np"), F.count("g").alias("ng"))
+    f1 = lambda c: 2 * F.col(c) / (F.col("np") + F.col("ng"))
+    return sums.groupBy("mode").agg(F.count("*").alias("fields"), F.round(F.avg(f1("e")), 6).alias("exact"), F.round(F.avg(f1("r")), 6).alias("relaxed"))
 
 
 def by_category(fields: DataFrame, category: DataFrame) -> DataFrame:
@@ -106,8 +130,12 @@ def sets(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     count = [F.sum(F.col("_g") * F.col("_p")).alias("tp"), F.count("_g").alias("g"), F.count("_p").alias("p")]
     tp, gn, pn = F.coalesce("tp", F.lit(0)), F.col("g"), F.col("p")
     safe = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    out = lambda d: d.select("label", F.round(safe(tp, pn), 4).alias("precision"), F.round(safe(tp, gn), 4).alias("recall"), F.round(safe(2 * tp, pn + gn), 4).alias("f1"), gn.alias("support"))
-    labels = out(rows.groupBy("label").agg(*count))
-    micro = out(rows.agg(*count).withColumn("label", F.lit("micro")))
-    macro = labels.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support")).select(F.lit("macro").alias("label"), "precision", "recall", "f1", "support")
-    return labels.unionByName(micro).unionByName(macro)
+    by = rows.groupBy("label").agg(*count)  # the one pass over rows; the rest rolls a few labels up
+    scored = by.select("label", F.coalesce("tp", F.lit(0)).alias("tp"), F.col("g").alias("_gs"), F.col("p").alias("_ps"), F.round(safe(tp, pn), 4).alias("precision"), F.round(safe(tp, gn), 4).alias("recall"), F.round(safe(2 * tp, pn + gn), 4).alias("f1"), gn.alias("support"))
+    means = [F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f1")]
+    rolled = scored.rollup("label").agg(F.grouping("label").alias("_all"), F.sum("tp").alias("tp"), F.sum("_gs").alias("g"), F.sum("_ps").alias("p"), *means, F.sum("support").alias("support"))
+    score = [F.round(safe(tp, pn), 4), F.round(safe(tp, gn), 4), F.round(safe(2 * tp, pn + gn), 4)]
+    line = lambda label, values: F.struct(label.alias("label"), *[v.alias(c) for c, v in zip(("precision", "recall", "f1"), values)], F.col("support"))
+    own = [F.col(c) for c in ("precision", "recall", "f1")]
+    both = F.array(line(F.lit("micro"), score), line(F.lit("macro"), own))
+    return rolled.select(F.explode(F.when(F.col("_all") == 1, both).otherwise(F.array(line(F.col("label"), own)))).alias("_")).select("_.*")

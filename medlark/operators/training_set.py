@@ -28,30 +28,57 @@ def shingles(w: Column, k: int = 5) -> Column:
     return F.array_distinct(F.when(F.size(w) >= k, runs).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(none))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.85, bands: int = 16, rows: int = 4, k: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> a, b, jaccard: pairs of different texts whose shingle sets are alike, by banded minima and
-    an exact check. Equal shingle sets are folded to their least doc_id beforehand."""
+def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, s: hashes of the distinct shingles, sorted; blank texts are left out."""
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), "")
     # Blank texts go by their text, and explode_outer infers no filter: one on the shingles would be pushed down and computed for every run.
     sets = docs.filter(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select("doc_id", words.alias("_w")).withColumn("_runs", shingles(F.col("_w"), k))
-    sets = sets.select("doc_id", F.array_sort(F.transform("_runs", lambda s: F.xxhash64(s))).alias("s"))
-    sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    each = sets.select("doc_id", F.explode_outer("s").alias("h")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bands * rows - 1))))
-    least_of = each.groupBy("doc_id", "i").agg(F.min(F.xxhash64("h", "i")).alias("m"))
-    banded = least_of.groupBy("doc_id", F.floor(F.col("i") / rows).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("i", "m")))).alias("key"))
-    a, b = banded.select(F.col("doc_id").alias("a"), "band", "key"), banded.select(F.col("doc_id").alias("b"), "band", "key")
-    pairs = a.join(b, ["band", "key"]).filter("a < b").select("a", "b").distinct()
+    return sets.select("doc_id", F.array_sort(F.transform("_runs", lambda s: F.xxhash64(s))).alias("s"))
+
+
+def membership(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, representative (the least id with the same shingles) and copies (how many have
+    them): what near_duplicates folds. Sets meet by their hash, in narrow rows."""
+    keyed = shingle_sets(docs, k).select("doc_id", F.xxhash64("s").alias("h"), F.size("s").alias("n"))
+    classes = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies"))
+    return keyed.join(classes, ["h", "n"]).select("doc_id", "representative", "copies")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.85, bands: int = 16, rows: int = 4, k: int = 5) -> DataFrame:
+    """docs(doc_id, text) -> a, b, jaccard: pairs of different texts whose shingle sets are alike, by banded minima and
+    an exact check. Equal shingle sets are folded to their least doc_id beforehand; `membership` says which."""
+    sets = shingle_sets(docs, k).groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+    each = sets.select("doc_id", F.explode_outer("s").alias("h"))
+    least_of = each.groupBy("doc_id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    banded = least_of.select("doc_id", F.explode(keys).alias("key"))
+    a, b = banded.withColumnRenamed("doc_id", "a"), banded.withColumnRenamed("doc_id", "b")
+    pairs = a.join(b, "key").filter("a < b").select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     n = F.size(F.array_intersect("x", "y"))
     return full.select("a", "b", (n / (F.size("x") + F.size("y") - n)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-def representatives(pairs: DataFrame, rate: DataFrame) -> DataFrame:
-    """pairs(a, b), rate(doc_id, rate): documents that give way to a neighbour of a better rate (the least id on ties)."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("doc_id", "other")
-    r = rate.select(F.col("doc_id").alias("other"), F.col("rate").alias("other_rate"))
-    rows = both.join(rate, "doc_id").join(r, "other")
-    return rows.filter((F.col("other_rate") > F.col("rate")) | ((F.col("other_rate") == F.col("rate")) & (F.col("other") < F.col("doc_id")))).select("doc_id").distinct()
+def representatives(pairs: DataFrame, members: DataFrame, rate: DataFrame, store) -> DataFrame:
+    """pairs(a, b) of class representatives, members(doc_id, representative), rate(doc_id, rate) -> doc_id of the
+    documents that stay: documents are walked by id; one not yet seen takes all its unseen near neighbours and copies
+    with it, and the best rate of these stays (the least id on ties). Documents without a class stay.
+
+    The walk runs in rounds over classes: a class leads once all smaller neighbours follow others, and follows its
+    least leading neighbour. `store` writes a round down and reads it again."""
+    edges = store(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("node", "other"))
+    state = store(members.select(F.col("representative").alias("node")).distinct().withColumn("leader", F.lit(None).cast(members.schema["doc_id"].dataType)))
+    left = None
+    while (now := state.filter("leader is null").count()) and now != left:
+        left = now
+        seen = edges.join(state.select(F.col("node").alias("other"), F.col("leader").alias("l")), "other").filter("other < node")
+        lead = seen.groupBy("node").agg(F.min(F.when(F.col("l") == F.col("other"), F.col("other"))).alias("first"), F.min(F.when(F.col("l").isNull(), F.col("other"))).alias("open"))
+        # an undecided smaller neighbour may still lead, before or after the one found
+        follow = F.when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open"))), F.col("first")).when(F.col("first").isNull() & F.col("open").isNull(), F.col("node"))
+        state = store(state.join(lead, "node", "left").select("node", F.coalesce("leader", follow).alias("leader")))
+    whole = members.join(state.withColumnRenamed("node", "representative"), "representative").join(rate, "doc_id", "left")
+    best = whole.groupBy("leader").agg(F.min(F.struct((-F.coalesce("rate", F.lit(0.0))).alias("r"), "doc_id")).alias("b")).select("b.doc_id")
+    return best.union(rate.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti"))
 
 
 def tasks(profiles: DataFrame) -> DataFrame:
@@ -95,13 +122,22 @@ def _hits(words: Column, name: str) -> Column:
     return F.filter(words, lambda w: w.isin(_STOPS[name].split()))
 
 
-def error_cause(gold: Column, predicted: Column, text: Column) -> Column:
-    """Why a prediction failed, the first that holds of seven."""
-    g, t = F.lower(gold), F.lower(text)
-    at = F.instr(t, g)
+_TOKEN = r"\[?(?:PRENOM|NOM|MAIL|TEL|ADDRESS|VILLE|HOPITAL|DATE|IPP|NDA|SSID|ZIP)_[A-Fa-f0-9]+\]?"
+DATE_FIELDS = sorted(n for n, f in schema.FIELDS.items() if f["type"] == "date")
+
+
+def error_cause(feature: Column, error: Column, predicted: Column, gold: Column, extractable: Column, text: Column) -> Column:
+    """Why an extraction failed, the first that holds: a pseudonym was predicted; the field of an omission was never
+    looked for; a date altered; an omitted value that first appears in the last 30 % of the text; an alteration that
+    differs by case and two accents; one that is the same text; else hallucination, format_mismatch for alterations."""
+    p, g = F.coalesce(predicted, F.lit("")), F.coalesce(gold, F.lit(""))
+    omitted, altered, both = error == "omission", error == "alteration", (p != "") & (g != "")
+    bare = lambda c: F.translate(F.lower(F.trim(c)), "éè", "ee")
+    at = F.instr(F.lower(text), F.lower(g)) - 1
     return (
-        F.when(gold.isNull(), "hallucination").when(predicted.isNotNull() & predicted.rlike(r"^\[[A-Z_]+_[0-9A-F]+\]$"), "pseudonym").when(predicted.isNotNull() & (F.lower(predicted) == F.concat(F.lit("non "), g)), "negation")
-        .when(predicted.isNotNull(), "alteration").when(at == 0, "absent").when(at > F.length(text) * 0.7, "truncation").otherwise("omission")
+        F.when(p.rlike(_TOKEN), "pseudo_token").when(omitted & ~F.array_contains(extractable, feature), "routing_omission").when(altered & feature.isin(DATE_FIELDS), "date_mismatch")
+        .when(omitted & (g != "") & (at >= 0) & (at > F.length(text) * 0.7), "truncation").when(altered & both & (bare(p) == bare(g)), "format_mismatch")
+        .when(altered & both & (F.trim(p) == F.trim(g)), "type_mismatch").when(error.isin("hallucination", "omission"), "hallucination").otherwise("format_mismatch")
     )
 
 

@@ -46,14 +46,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitems as facts: DOC columns, field, value (null for some), other_value, score, seq."""
-    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey")
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 7").withColumn("_one", F.row_number().over(one)).filter("_one = 1")
-    field = F.element_at(F.array(*[F.lit(_LINE_FIELDS[i]) for i in range(1, 8)]), F.col("l_linenumber"))
+    """Lineitems as facts, each of them: DOC columns, field, value (null for some), other_value, score, seq. Lines of an
+    order that share a number go to its second, third and further reports, `<order>.2` and so on."""
+    slot = F.least("l_linenumber", F.lit(7))
+    turn = Window.partitionBy("l_orderkey", slot).orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    line = table(spark, sf_dir, "lineitem").withColumn("_turn", F.row_number().over(turn))
+    field = F.element_at(F.array(*[F.lit(_LINE_FIELDS[i]) for i in range(1, 8)]), slot)
     value = F.when(F.col("l_discount") < 0.02, F.lit(None)).when(field == "date_chir", F.when(F.col("l_quantity") > 35, F.date_format("l_shipdate", "dd/MM/yyyy"))).otherwise(F.concat("l_returnflag", "l_linestatus"))
     other = F.when(F.col("l_tax") < 0.02, F.lit(None)).when(F.col("l_tax") < 0.05, value).otherwise(F.concat("l_linestatus", "l_returnflag"))
-    rows = line.select(F.col("l_orderkey").cast("string").alias("doc_id"), field.alias("field"), value.alias("value"), other.alias("other_value"), F.col("l_extendedprice").alias("score"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("supplier"))
-    return rows.join(documents(spark, sf_dir), "doc_id")
+    rows = line.select(F.col("l_orderkey").cast("string").alias("_order"), "_turn", field.alias("field"), value.alias("value"), other.alias("other_value"), F.col("l_extendedprice").alias("score"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("supplier"))
+    found = rows.join(documents(spark, sf_dir).withColumnRenamed("doc_id", "_order"), "_order")
+    doc = F.when(F.col("_turn") == 1, F.col("_order")).otherwise(F.concat_ws(".", "_order", F.col("_turn").cast("string")))
+    return found.select(doc.alias("doc_id"), *[c for c in found.columns if c[0] != "_"])
 
 
 def _case(column: str, table: dict, other: str) -> str:
@@ -64,13 +68,15 @@ DOCUMENTS_SQL = f"""docs AS (
   SELECT o_orderkey::VARCHAR AS doc_id, o_custkey::VARCHAR AS patient_id, {_case("o_orderpriority", _PRIORITIES, "'other'")} AS doc_type,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y')
       ELSE year(o_orderdate) || '/' || month(o_orderdate) || '/' || day(o_orderdate) END AS doc_date FROM orders)"""
-FACTS_SQL = f"""{DOCUMENTS_SQL}, lines AS (
-  SELECT l_orderkey::VARCHAR AS doc_id, {_case("l_linenumber", _LINE_FIELDS, "NULL")} AS field, l_linenumber AS seq, l_extendedprice AS score, l_suppkey AS supplier, l_tax, l_linestatus, l_returnflag,
-    CASE WHEN l_discount < 0.02 THEN NULL WHEN l_linenumber = 4 THEN CASE WHEN l_quantity > 35 THEN strftime(l_shipdate, '%d/%m/%Y') END ELSE l_returnflag || l_linestatus END AS value
-  FROM lineitem WHERE l_linenumber <= 7 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) = 1
+FACTS_SQL = f"""{DOCUMENTS_SQL}, turns AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, least(l_linenumber, 7)
+    ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS turn FROM lineitem
+), lines AS (
+  SELECT l_orderkey::VARCHAR AS ord_id, turn, {_case("least(l_linenumber, 7)", _LINE_FIELDS, "NULL")} AS field, l_linenumber AS seq, l_extendedprice AS score, l_suppkey AS supplier, l_tax, l_linestatus, l_returnflag,
+    CASE WHEN l_discount < 0.02 THEN NULL WHEN least(l_linenumber, 7) = 4 THEN CASE WHEN l_quantity > 35 THEN strftime(l_shipdate, '%d/%m/%Y') END ELSE l_returnflag || l_linestatus END AS value
+  FROM turns
 ), facts AS (
-  SELECT doc_id, field, value, CASE WHEN l_tax < 0.02 THEN NULL WHEN l_tax < 0.05 THEN value ELSE l_linestatus || l_returnflag END AS other_value, score, seq, supplier,
-    patient_id, doc_type, doc_date FROM lines JOIN docs USING (doc_id))"""
+  SELECT CASE WHEN turn = 1 THEN ord_id ELSE ord_id || '.' || turn END AS doc_id, field, value, CASE WHEN l_tax < 0.02 THEN NULL WHEN l_tax < 0.05 THEN value ELSE l_linestatus || l_returnflag END AS other_value, score, seq, supplier,
+    patient_id, doc_type, doc_date FROM lines JOIN docs ON docs.doc_id = lines.ord_id)"""
 
 #: (doc_id, patient_id, doc_date, text): invented reports.
 REPORTS = [

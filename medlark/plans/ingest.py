@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import functions as F
 
 from medlark.functions import schema, similarity
 from medlark.operators import privacy
 from medlark.sources import database
+from medlark.sources.storage import shared_dir
 
 from .base import DOCUMENTS_SQL, FACTS_SQL, documents, facts, query, table, values
 from .timeline import _NAMES, _STATE, timeline_wide
@@ -36,7 +36,7 @@ def empty(spark, sf_dir):
 @query("S02_load_database", f"WITH {DOCUMENTS_SQL} SELECT doc_id AS did, patient_id AS ipp, doc_type AS document, CASE WHEN doc_date IS NULL THEN NULL ELSE '1' END AS ord FROM docs")
 def load(spark, sf_dir):
     """Written as CSV with identifiers as 1.0 and read back."""
-    path = tempfile.mkdtemp(prefix="medlark-csv-") + "/db"
+    path = shared_dir(spark) + "/db"
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("did"), F.concat("patient_id", F.lit(".0")).alias("IPP"), F.col("doc_type").alias("document"), F.when(F.col("doc_date").isNotNull(), "1.0").otherwise("x").alias("order"))
     d.write.csv(path, header=True)
     return database.load(spark, path).select("did", "ipp", "document", F.col("order").cast("string").alias("ord"))
@@ -44,7 +44,7 @@ def load(spark, sf_dir):
 
 @query("S03_save_database", "SELECT doc_id, source FROM documents")
 def save(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="medlark-db-") + "/db"
+    path = shared_dir(spark) + "/db"
     rows = table(spark, sf_dir, "documents").select("doc_id", "source")
     database.save(rows.limit(1), path)
     database.save(rows, path)
@@ -57,7 +57,7 @@ def duplicates(spark, sf_dir):
     return database.new_documents(new, own).select("row_id", "ipp")
 
 
-_APPEND_BASE = "own AS (SELECT o_orderkey AS did, (o_custkey % 500)::VARCHAR AS ipp, (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate))::INTEGER AS num FROM orders WHERE o_orderkey % 3 != 0), new AS (SELECT (o_custkey % 500)::VARCHAR AS ipp, (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate))::INTEGER AS num FROM orders WHERE o_orderkey % 30 = 0)"
+_APPEND_BASE = "own AS (SELECT o_orderkey AS did, (o_custkey % 500)::VARCHAR AS ipp, (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate))::INTEGER AS num FROM orders WHERE o_orderkey % 3 != 0), new AS (SELECT (o_custkey % 500)::VARCHAR AS ipp, (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate))::INTEGER AS num FROM orders WHERE o_orderkey % 3 = 0)"
 
 
 @query("S04_W02_append", f"""WITH {_APPEND_BASE}, al AS (SELECT ipp, num FROM own UNION ALL SELECT ipp, num FROM new),
@@ -68,7 +68,7 @@ def appended(spark, sf_dir):
     num = F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("consult_date_num")
     ipp = (F.col("o_custkey") % 500).cast("string").alias("ipp")
     own = database.create(spark).unionByName(o.filter("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("did"), ipp, num), allowMissingColumns=True)
-    whole = database.append(own, o.filter("o_orderkey % 30 = 0").select(ipp, num))
+    whole = database.append(own, o.filter("o_orderkey % 3 = 0").select(ipp, num))
     last = whole.agg(F.max("did").alias("last_did"))
     return whole.select("ipp", F.col("consult_date_num").alias("num"), F.col("order").cast("string").alias("ord")).crossJoin(F.broadcast(last))
 
@@ -121,7 +121,7 @@ def sheet(spark, sf_dir):
 @query("S15_gold_annotations", f"WITH {FACTS_SQL} SELECT doc_id AS document_id, field, value FROM facts WHERE value IS NOT NULL AND field != 'champ_inconnu'")
 def gold(spark, sf_dir):
     """Written as JSON documents, read back as maps."""
-    path = tempfile.mkdtemp(prefix="medlark-gold-") + "/gold"
+    path = shared_dir(spark) + "/gold"
     database.gold_documents(facts(spark, sf_dir)).select("json").write.text(path)
     rows = spark.read.schema("document_id string, patient_id string, annotations map<string,string>").json(path)
     return database.gold_annotations(rows, schema.field_def(spark))
@@ -135,7 +135,7 @@ def gold_documents(spark, sf_dir):
 
 @query("S18_json_lines", "SELECT conv_id, turn, role FROM conversations")
 def json_lines(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="medlark-jsonl-") + "/c"
+    path = shared_dir(spark) + "/c"
     table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").write.json(path)
     return spark.read.schema("conv_id long, turn long, role string").json(path)
 

@@ -152,12 +152,14 @@ def examples(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy("d", "value"))).filter("place <= 5").select("field", "value", "place")
 
 
-_TEXTS = [("a", "La tumeur du patient : gliome, IRM et chirurgie, nécrose", "pass"), ("b", "texte court", "review"), ("c", "the patient was seen and is from the of", "reject"), ("d", "```json tumeur", "reject")]
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("T17_language_quality", values(_TEXTS, "id, text, verdict"))
+@query("T17_language_quality", f"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w FROM documents)
+SELECT doc_id, CASE WHEN {' OR '.join(f"contains(t, '{x}')" for x in corpus.LEAKS)} OR len(list_intersect(w, {_LISTED(corpus._MEDICAL)})) < 5
+  OR len(list_filter(w, lambda x: list_contains({_LISTED(corpus._ENGLISH)}, x))) / greatest(len(w), 1) > 0.1 THEN 'reject' ELSE 'pass' END AS verdict FROM w""")
 def quality(spark, sf_dir):
-    return spark.createDataFrame([t[:2] for t in _TEXTS], "id string, text string").select("id", "text", corpus.language_quality(F.col("text")).alias("verdict"))
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.language_quality(F.col("text")).alias("verdict"))
 
 
 _PROFILES = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from medlark.functions import schema
 from medlark.operators import training_set as ts
+from medlark.sources.storage import durable
 
 from .base import FACTS_SQL, facts, query, table, values
 
@@ -32,10 +33,18 @@ def greedy(spark, sf_dir):
     return ts.greedy_pairs(rows, "grp").select("grp", "left", "right")
 
 
+@query("J15_membership", f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS s FROM w)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS representative, count(*) OVER (PARTITION BY s) AS copies FROM s WHERE len(s) > 0""")
+def membership(spark, sf_dir):
+    return ts.membership(table(spark, sf_dir, "documents"))
+
+
 @query("W17_representatives")
 def representatives(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return ts.representatives(ts.near_duplicates(d), d.select("doc_id", F.col("n_chars").cast("double").alias("rate")))
+    rate = d.select("doc_id", (1.0 - F.col("doc_id") % 7 / 10).alias("rate"))
+    return ts.representatives(ts.near_duplicates(d), ts.membership(d), rate, durable)
 
 
 _JSON = [("<think>x</think>```json\n{\"a\": [1, 2,],}\n```", '{"a": [1, 2]}'), ("rien", None), ("ok {\"b\": 1} fin", '{"b": 1}')]
@@ -54,13 +63,17 @@ def language(spark, sf_dir):
     return spark.createDataFrame([(a,) for a, _ in _LANG], "text string").select("text", ts.language(F.col("text")).alias("lang"))
 
 
-_CAUSES = [("gain", None, "a gain seen here and then much more text follows", "omission"), ("gain", None, "nothing", "absent"), (None, "x", "t", "hallucination"), ("oui", "non oui", "oui", "negation"), ("a", "b", "a", "alteration"), ("fin", None, "x" * 40 + " fin", "truncation"), ("Jean", "[NOM_0A1B2C3D4E]", "Jean", "pseudonym")]
+_CAUSES = [
+    ("sexe", "hallucination", "[NOM_0A1B2C]", None, "Jean", "pseudo_token"), ("sexe", "omission", None, "F", "une femme", "routing_omission"), ("date_chir", "alteration", "01/02/2020", "02/02/2020", "", "date_mismatch"),
+    ("grade", "omission", None, "fin", "x" * 40 + " fin", "truncation"), ("grade", "omission", None, "debut", "debut " + "x" * 40, "hallucination"), ("grade", "alteration", "Élevé ", "elevé", "", "format_mismatch"),
+    ("grade", "alteration", "Répété", "repete", "", "format_mismatch"), ("grade", "alteration", "3", "4", "", "format_mismatch"), ("grade", "hallucination", "4", None, "t", "hallucination"),
+]
 
 
-@query("A31_error_causes", values(_CAUSES, "gold, predicted, text, cause"))
+@query("A31_error_causes", values([(i, c[5]) for i, c in enumerate(_CAUSES)], "id, cause"))
 def causes(spark, sf_dir):
-    rows = spark.createDataFrame([c[:3] for c in _CAUSES], "gold string, predicted string, text string")
-    return rows.select("*", ts.error_cause(F.col("gold"), F.col("predicted"), F.col("text")).alias("cause"))
+    rows = spark.createDataFrame([(i, *c[:5], ["grade", "date_chir"]) for i, c in enumerate(_CAUSES)], "id int, feature string, error string, predicted string, gold string, text string, extractable array<string>")
+    return rows.select("id", ts.error_cause(*[F.col(c) for c in ("feature", "error", "predicted", "gold", "extractable", "text")]).alias("cause"))
 
 
 @query("X30_json_schema", values([("surgery", "date_chir" not in ts.json_schema("surgery")["properties"], len(ts.json_schema("surgery")["properties"]))], "grp, own, n"))
