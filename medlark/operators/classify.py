@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlark.functions.text import folded
@@ -23,27 +23,32 @@ def keywords() -> list[tuple[str, int, str, int]]:
     return [*rows, ("consultation", 2, "Karnofsky", STRONG)]
 
 
-def doc_keyword(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(keywords(), "doc_type string, type_order int, keyword string, weight int")
+def scores(docs: DataFrame, words: list[tuple[str, int, str, int]] | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, doc_type, type_order, score, matched: a row for every type of every document. One
+    projection tests all keywords; nothing is joined."""
+    words = words or keywords()
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    by_type: dict[tuple[int, str], list] = {}
+    for kind, order, keyword, weight in words:
+        by_type.setdefault((order, kind), []).append((keyword, weight))
+    one = lambda k, w: F.when(F.col("_t").contains(k.lower()), F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")))
+    typed = [F.struct(F.lit(kind).alias("doc_type"), F.lit(order).alias("type_order"), F.array_compact(F.array(*[one(*x) for x in hits])).alias("hits")) for (order, kind), hits in sorted(by_type.items())]
+    each = docs.select("doc_id", lower.alias("_t")).select("doc_id", F.explode(F.array(*typed)).alias("_")).select("doc_id", "_.*")
+    return each.select("doc_id", "doc_type", "type_order", F.aggregate("hits", F.lit(0), lambda s, x: s + x.w).alias("score"), F.array_sort(F.transform("hits", lambda x: x.k)).alias("matched"))
 
 
-def scores(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, doc_type, type_order, score, matched: a row for every type of every document."""
-    hits = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_t")).join(F.broadcast(words), F.col("_t").contains(F.lower("keyword")), "inner")
-    found = hits.groupBy("doc_id", "doc_type").agg(F.sum("weight").alias("score"), F.array_sort(F.collect_list("keyword")).alias("matched"))
-    types = F.broadcast(words.select("doc_type", "type_order").distinct())
-    grid = docs.select("doc_id").join(types)
-    return grid.join(found, ["doc_id", "doc_type"], "left").withColumn("score", F.coalesce("score", F.lit(0))).withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
-
-
-def classify(docs: DataFrame, words: DataFrame, ambiguous: int = AMBIGUOUS) -> DataFrame:
+def classify(docs: DataFrame, words: list[tuple[str, int, str, int]] | None = None, ambiguous: int = AMBIGUOUS) -> DataFrame:
     """doc_id, doc_type, score, confidence, is_ambiguous: the type of the highest score, the first in order on ties;
-    a blank text is a consultation."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "type_order")
-    top = scores(docs, words).withColumn("_r", F.row_number().over(order)).withColumn("_second", F.lead("score").over(order)).filter("_r = 1")
-    rows = top.join(docs.select("doc_id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("_blank")), "doc_id")
+    a blank text is a consultation. Scores stay within the document's row."""
+    words = words or keywords()
+    types = sorted({(order, kind) for kind, order, _, _ in words})
+    total = lambda kind: sum((F.when(F.col("_t").contains(k.lower()), w).otherwise(0) for t, _, k, w in words if t == kind), F.lit(0))
+    ranked = F.array_sort(F.array(*[F.struct((-total(kind)).alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("doc_type")) for order, kind in types]))
+    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_t")).withColumn("_r", ranked)
+    score, second = -F.col("_r")[0]["s"], -F.get("_r", F.lit(1))["s"]
+    rows = rows.select("doc_id", F.when(F.trim("_t") == "", "consultation").otherwise(F.col("_r")[0]["doc_type"]).alias("doc_type"), score.alias("score"), second.alias("_second"))
     sure = F.when(F.col("score") > 0, (F.col("score") - F.col("_second")) / F.col("score")).otherwise(0.0)
-    return rows.select("doc_id", F.when(F.col("_blank"), "consultation").otherwise(F.col("doc_type")).alias("doc_type"), "score", sure.alias("confidence"), ((F.col("score") == 0) | (F.col("score") - F.col("_second") <= ambiguous)).alias("is_ambiguous"))
+    return rows.select("doc_id", "doc_type", "score", sure.alias("confidence"), ((F.col("score") == 0) | (F.col("score") - F.col("_second") <= ambiguous)).alias("is_ambiguous"))
 
 
 #: name -> headers in folded form

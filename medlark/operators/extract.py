@@ -148,16 +148,17 @@ def _rules() -> list[Rule]:
 RULES = _rules()
 #: extractors whose value is a list of all that occur, joined by " + "
 LISTS = {"chimios": (_DRUGS, 0.85), "tumeur_position": (_PLACES, 0.8)}
-#: section -> extractors
+#: section -> extractors; text under any other name is read by all
 SECTIONS = {
     "ihc": "ihc numerical", "molecular": "molecular amplification fusion", "chromosomal": "chromosomal amplification", "macroscopy": "binary numerical", "microscopy": "binary numerical ihc diag_histologique",
-    "conclusion": "ihc molecular chromosomal numerical amplification fusion evol_clinique classification_oms diag_histologique", "history": "binary type_chirurgie evol_clinique", "treatment": "binary numerical type_chirurgie chimios",
-    "clinical_exam": "binary numerical", "radiology": "binary", "equipe_soignante": "", "demographics": "sexe", "summary": "binary numerical evol_clinique type_chirurgie chimios diag_histologique", "rcp_decision": "binary numerical type_chirurgie chimios",
-    "full_text": " ".join(dict.fromkeys([*[x.extractor for x in RULES], *LISTS])),
+    "conclusion": "ihc molecular chromosomal numerical amplification fusion evol_clinique classification_oms diag_histologique", "history": "date binary type_chirurgie evol_clinique", "treatment": "date binary numerical type_chirurgie chimios",
+    "clinical_exam": "date binary numerical", "radiology": "date binary", "equipe_soignante": "", "demographics": "date sexe", "summary": "date binary numerical evol_clinique type_chirurgie chimios diag_histologique", "rcp_decision": "date binary numerical type_chirurgie chimios",
+    "full_text": " ".join(dict.fromkeys(["date", *[x.extractor for x in RULES], *LISTS])),
 }
 
 
 def _match(norm: Column, rule: Rule, order: int) -> Column:
+    at = F.regexp_instr(norm, F.lit(rule.pattern))
     span = F.regexp_extract(norm, rule.pattern, 0)
     if rule.value is not None:
         value = F.lit(rule.value)
@@ -165,7 +166,7 @@ def _match(norm: Column, rule: Rule, order: int) -> Column:
         raw = F.regexp_replace(F.trim(F.regexp_extract(norm, rule.pattern, rule.group)), r"\s+", " ")
         value = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rule.spelled for x in kv]), raw), raw) if rule.spelled else raw
     return F.when(
-        span != "", F.struct(F.lit(rule.field).alias("field"), value.alias("value"), span.alias("span"), (F.instr(norm, span) - 1).alias("start"), F.lit(order).alias("ord"), F.lit(rule.confidence).alias("confidence"))
+        (at > 0) & (span != ""), F.struct(F.lit(rule.field).alias("field"), value.alias("value"), span.alias("span"), (at - 1).alias("start"), F.lit(order).alias("ord"), F.lit(rule.confidence).alias("confidence"))
     )
 
 
@@ -173,8 +174,8 @@ def matches(norm: Column, extractor: str) -> Column:
     """Array of the first matches of an extractor's rules."""
     if extractor in LISTS:
         table, confidence = LISTS[extractor]
-        at = {v: F.regexp_extract(norm, rf"\b(?:{p})\b", 0) for v, p in table.items()}
-        found = F.filter(F.array(*[F.when(s != "", F.struct((F.instr(norm, s) - 1).alias("start"), F.lit(v).alias("value"), s.alias("span"))) for v, s in at.items()]), lambda x: x.isNotNull())
+        word = {v: rf"\b(?:{p})\b" for v, p in table.items()}
+        found = F.array_compact(F.array(*[F.when(F.regexp_instr(norm, F.lit(p)) > 0, F.struct((F.regexp_instr(norm, F.lit(p)) - 1).alias("start"), F.lit(v).alias("value"), F.regexp_extract(norm, p, 0).alias("span"))) for v, p in word.items()]))
         ordered = F.array_sort(F.transform(found, lambda x: x["value"])) if extractor == "chimios" else F.transform(F.array_sort(found), lambda x: x["value"])
         first = F.array_min(found)
         whole = F.struct(F.lit(extractor).alias("field"), F.array_join(ordered, " + ").alias("value"), first["span"].alias("span"), first["start"].cast("int").alias("start"), F.lit(0).alias("ord"), F.lit(confidence).alias("confidence"))
@@ -187,23 +188,48 @@ def extract(docs: DataFrame, extractors: list[str]) -> DataFrame:
     rows = docs.withColumn("_norm", folded(F.coalesce("text", F.lit(""))))
     none = F.array().cast("array<struct<field:string,value:string,span:string,start:int,ord:int,confidence:double>>")
     each = F.concat(*[F.transform(F.coalesce(matches(F.col("_norm"), e), none), lambda m: F.struct(F.lit(e).alias("extractor"), m.alias("m"))) for e in extractors])  # noqa: B023
-    long = rows.select("doc_id", F.explode(each).alias("_")).select("doc_id", "_.extractor", "_.m.*")
+    # explode_outer infers no filter on the matches, which would be pushed below the folding and computed twice
+    long = rows.select("doc_id", F.explode_outer(each).alias("_")).select("doc_id", "_.extractor", "_.m.*").filter("extractor is not null")
     return best(long, ["doc_id", "extractor", "field"], F.col("ord"), F.col("start")).drop("ord")
 
 
-def run_rules(sections: DataFrame) -> DataFrame:
-    """sections(doc_id, section, position, text) -> the value of each field from the first section whose extractors
-    find it, and the section."""
-    parts = []
-    for e in SECTIONS["full_text"].split():
-        names = [s for s, x in SECTIONS.items() if e in x.split()]
-        rows = extract(sections.filter(F.col("section").isin(names)).select(F.struct("doc_id", "section", "position").alias("doc_id"), "text"), [e])
-        parts.append(rows.select("doc_id.doc_id", "doc_id.section", "doc_id.position", "field", "extractor", "value", "span", "start", "confidence"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = F.array_position(F.array(*[F.lit(e) for e in SECTIONS["full_text"].split()]), F.col("extractor"))
-    return best(found, ["doc_id", "field"], F.col("position"), order)
+_NONE = "array<struct<field:string,value:string,span:string,start:int,ord:int,confidence:double>>"
+#: A birth date under a pseudonym keeps its year.
+_BIRTH = r"(?i)\bn[ée]e?\s+le\s+\[?(?:DATE)_[A-F0-9]+_((?:19|20)\d{2})\]?"
+
+
+def run_rules(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """docs(doc_id, text), sections(doc_id, section, position, text) -> doc_id, field, extractor, section, value, span,
+    start, confidence: the value of each field from the first section whose extractors find it, in the extractors'
+    order; fields that no section gives are looked for in the whole text of documents that have sections.
+
+    All rules stand in one projection, guarded by the section's list of extractors; one explode and one window follow."""
+    own = sections.select("doc_id", "section", "position", F.coalesce("text", F.lit("")).alias("text"))
+    parted = own.filter(F.col("section") != "full_text").select("doc_id").distinct()
+    rest = docs.join(parted, "doc_id", "left_semi").select("doc_id", F.lit("*").alias("section"), F.lit(1 << 20).alias("position"), F.coalesce("text", F.lit("")).alias("text"))
+    names = SECTIONS["full_text"].split()
+    rows = _with_dates(own.unionByName(rest))
+    none = F.array().cast(_NONE)
+    known = F.col("section").isin(list(SECTIONS))
+
+    def reads(e: str) -> Column:
+        if e == "date":  # not part of the second look
+            return F.col("section").isin([s for s, x in SECTIONS.items() if "date" in x.split()]) | (~known & (F.col("section") != "*"))
+        return F.col("section").isin([s for s, x in SECTIONS.items() if e in x.split()]) | ~known
+
+    def found(i: int, e: str) -> Column:
+        hits = F.transform(_dated(), lambda d: F.struct(d["field"], d["value"], d["raw"].alias("span"), d["start"], F.lit(0).alias("ord"), F.lit(0.5).cast("double").alias("confidence"))) if e == "date" else matches(F.col("_norm"), e)
+        got = F.when(reads(e), F.coalesce(hits.cast(_NONE), none)).otherwise(none)
+        return F.transform(got, lambda m: F.struct(F.lit(i).alias("turn"), F.lit(e).alias("extractor"), m.alias("m")))
+
+    birth = F.regexp_extract("text", _BIRTH, 1)
+    token = F.when(birth != "", F.array(F.struct(F.lit(-1).alias("turn"), F.lit("date").alias("extractor"), F.struct(
+        F.lit("annee_de_naissance").alias("field"), birth.alias("value"), F.regexp_extract("text", _BIRTH, 0).alias("span"), (F.regexp_instr("text", F.lit(_BIRTH)) - 1).alias("start"), F.lit(0).alias("ord"), F.lit(0.5).cast("double").alias("confidence"),
+    ).alias("m")))).otherwise(F.array().cast(f"array<struct<turn:int,extractor:string,m:{_NONE[6:-1]}>>"))
+    each = rows.select("doc_id", "section", "position", F.explode_outer(F.concat(token, *[found(i, e) for i, e in enumerate(names)])).alias("_"))
+    long = each.select("doc_id", F.when(F.col("section") == "*", "full_text").otherwise(F.col("section")).alias("section"), "position", "_.turn", "_.extractor", "_.m.*").filter("extractor is not null")
+    first = F.when(F.col("turn") < 0, -1).otherwise(F.col("position"))
+    return best(long, ["doc_id", "field"], first, F.col("turn"), F.col("ord"), F.col("start")).drop("position", "turn", "ord")
 
 
 _DATE_CUES = {
@@ -213,13 +239,35 @@ _DATE_CUES = {
 _WIDE = ("date_deces", "dn_date", "exam_radio_date_decouverte", "date_progression", "annee_de_naissance")
 
 
+def positions(text: Column, pattern: str) -> Column:
+    """Where each match of a pattern starts, from 0; linear in the text."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    steps = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["h"]).alias("h")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o"))
+    return F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["o"], F.array(s["at"] + x["g"])).alias("o")), lambda s: s["o"])
+
+
+def _with_dates(rows: DataFrame) -> DataFrame:
+    """rows(text) with the folded text and its dates, each made once."""
+    return rows.withColumn("_norm", folded(F.col("text"))).withColumn("_dates", dates(F.col("text")))
+
+
+def _dated() -> Column:
+    """array of struct(field, value, raw, start, gap): for each date field the date nearest to any of its cues."""
+    found, norm = F.col("_dates"), "_norm"
+    out = []
+    for f, p in _DATE_CUES.items():
+        pattern = rf"\b(?:{p})\b"
+        value = lambda d: F.right(d["date"], F.lit(4)) if f == "annee_de_naissance" else d["date"]  # noqa: B023, E731
+        near = lambda d, at: F.struct(F.abs(d["start"] - at).alias("gap"), d["start"].alias("start"), value(d).alias("value"), d["raw"].alias("raw"))  # noqa: B023, E731
+        pairs = F.flatten(F.transform(found, lambda d: F.transform(positions(F.col(norm), pattern), lambda at: near(d, at))))  # noqa: B023
+        best_of = F.array_min(F.filter(pairs, lambda x: x["gap"] <= (300 if f in _WIDE else 200)))  # noqa: B023
+        out.append(F.when((F.size(found) > 0) & F.col(norm).rlike(pattern), F.when(best_of.isNotNull(), F.struct(F.lit(f).alias("field"), best_of["value"].alias("value"), best_of["raw"].alias("raw"), best_of["start"].alias("start"), best_of["gap"].alias("gap")))))
+    return F.array_compact(F.array(*out))
+
+
 def keyword_dates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, field, value: for each date field the date nearest to one of its cues, within
     200 characters (300 for a few fields); the year alone for the birth."""
-    norm = folded(F.coalesce("text", F.lit("")))
-    found = docs.select("doc_id", norm.alias("n"), F.explode(dates(F.coalesce("text", F.lit("")))).alias("d"))
-    cues = F.array(*[F.struct(F.lit(f).alias("field"), F.instr("n", F.regexp_extract("n", rf"\b(?:{p})\b", 0)).alias("at"), F.lit(300 if f in _WIDE else 200).alias("w"), F.regexp_extract("n", rf"\b(?:{p})\b", 0).alias("s")) for f, p in _DATE_CUES.items()])
-    rows = found.select("doc_id", "d", F.explode(F.filter(cues, lambda c: c["s"] != "")).alias("c"))
-    rows = rows.withColumn("gap", F.abs(F.col("d.start") - F.col("c.at") + 1)).filter(F.col("gap") <= F.col("c.w")).select("doc_id", F.col("c.field").alias("field"), F.col("d.date").alias("value"), "gap", F.col("d.start").alias("start"))
-    near = best(rows, ["doc_id", "field"], F.col("gap"), F.col("start"))
-    return near.select("doc_id", "field", F.when(F.col("field") == "annee_de_naissance", F.right("value", F.lit(4))).otherwise(F.col("value")).alias("value"))
+    rows = _with_dates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return rows.select("doc_id", F.explode_outer(_dated()).alias("_")).select("doc_id", "_.field", "_.value").filter("field is not null")

@@ -107,3 +107,18 @@ REPORTS_SQL = f"reports AS ({values(REPORTS, 'doc_id, patient_id, doc_date, text
 
 def reports(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REPORTS, "doc_id string, patient_id string, doc_date string, text string")
+
+
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each behind one of the sample reports (number doc_id mod 8): doc_id, text. The invented prose has
+    no clinical facts of its own."""
+    texts = F.array(*[F.lit(r[3]) for r in REPORTS])
+    pick = F.element_at(texts, (F.pmod("doc_id", F.lit(len(REPORTS))) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def expected(facts: dict[int, dict], names: str = "field, value, confidence") -> str:
+    """DuckDB SQL of what `seeded` documents hold, from hand-made facts by report (from 0)."""
+    rows = [(i, f, *(v if isinstance(v, tuple) else (v,))) for i, found in facts.items() for f, v in found.items()]
+    columns = ", ".join(f"e.{c.strip()}" for c in names.split(","))
+    return f"SELECT d.doc_id, {columns} FROM documents d JOIN ({values(rows, 'report, ' + names)}) e ON e.report = d.doc_id % {len(REPORTS)}"

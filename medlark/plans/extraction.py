@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 
 from medlark.operators import classify, extract
 
-from .base import REPORTS_SQL, query, reports, sql_text, table, values
+from .base import expected, query, reports, seeded, table, values
 
-_FOLD = "lower(translate(coalesce(text, ''), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿœÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyoAAAAAACEEEEIIIINOOOOOUUUUY'))"
 _KEYWORDS = f"kw AS ({values(classify.keywords(), 'doc_type, type_order, keyword, weight')})"
-_SCORES = f"""{REPORTS_SQL}, {_KEYWORDS}, scores AS (SELECT doc_id, doc_type, type_order, coalesce(sum(weight) FILTER (WHERE contains(lower(text), lower(keyword))), 0) AS score FROM reports, kw GROUP BY ALL)"""
+_SCORES = f"""{_KEYWORDS}, scores AS (SELECT doc_id, doc_type, type_order, coalesce(sum(weight) FILTER (WHERE contains(lower(text), lower(keyword))), 0) AS score FROM documents, kw GROUP BY ALL)"""
 
 
 @query("A01_keyword_scores", f"WITH {_SCORES} SELECT doc_id, doc_type, score::BIGINT AS score FROM scores")
 def keyword_scores(spark, sf_dir):
-    return classify.scores(reports(spark), classify.doc_keyword(spark)).select("doc_id", "doc_type", F.col("score").cast("long").alias("score"))
+    return classify.scores(table(spark, sf_dir, "documents")).select("doc_id", "doc_type", F.col("score").cast("long").alias("score"))
 
 
 @query("A02_document_type", f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM scores WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, type_order))
-SELECT doc_id, CASE WHEN trim(text) = '' THEN 'consultation' ELSE doc_type END AS doc_type, round(CASE WHEN score > 0 THEN (score - second) / score ELSE 0 END, 6) AS confidence, score = 0 OR score - second <= 2 AS is_ambiguous FROM r JOIN reports USING (doc_id) WHERE n = 1""")
+SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'consultation' ELSE doc_type END AS doc_type, round(CASE WHEN score > 0 THEN (score - second) / score ELSE 0 END, 6) AS confidence, score = 0 OR score - second <= 2 AS is_ambiguous FROM r JOIN documents USING (doc_id) WHERE n = 1""")
 def document_type(spark, sf_dir):
-    return classify.classify(reports(spark), classify.doc_keyword(spark)).select("doc_id", "doc_type", F.round("confidence", 6).alias("confidence"), "is_ambiguous")
+    return classify.classify(table(spark, sf_dir, "documents")).select("doc_id", "doc_type", F.round("confidence", 6).alias("confidence"), "is_ambiguous")
 
 
 @query("W16_ranked_scores", f"WITH {_SCORES} SELECT doc_id, doc_type, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, type_order)::INTEGER AS place FROM scores")
@@ -29,7 +28,7 @@ def ranked_scores(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "type_order")
-    return classify.scores(reports(spark), classify.doc_keyword(spark)).select("doc_id", "doc_type", F.row_number().over(w).alias("place"))
+    return classify.scores(table(spark, sf_dir, "documents")).select("doc_id", "doc_type", F.row_number().over(w).alias("place"))
 
 
 _SECTIONS = [
@@ -43,48 +42,43 @@ def section_names(spark, sf_dir):
     return classify.sections(reports(spark)).select("doc_id", "section", "position")
 
 
-def _oracle(extractors: list[str]) -> str:
-    """The rules of some extractors, one SELECT each, the first in order winning."""
-    parts = []
-    for i, r in enumerate(extract.RULES):
-        if r.extractor in extractors:
-            raw = f"regexp_replace(trim(regexp_extract(norm, {sql_text(r.pattern)}, {r.group})), '\\s+', ' ', 'g')"
-            value = sql_text(r.value) if r.value is not None else (f"CASE {raw} " + " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v)}" for k, v in r.spelled) + f" ELSE {raw} END" if r.spelled else raw)
-            parts.append(f"SELECT doc_id, '{r.field}' AS field, {value} AS value, {i} AS ord, {r.confidence}::DOUBLE AS confidence FROM n WHERE regexp_matches(norm, {sql_text(r.pattern)})")
-    return f"WITH {REPORTS_SQL}, n AS (SELECT doc_id, {_FOLD} AS norm FROM reports), m AS ({' UNION ALL '.join(parts)}) SELECT doc_id, field, value, confidence FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY ord) = 1"
-
-
+#: name -> extractor and, by report, the fields that a reader finds in it.
 _NUMBERED = {
-    "X01_ihc": "ihc", "X02_molecular": "molecular", "X03_chromosomal": "chromosomal", "X04_binary": "binary", "X05_numerical": "numerical", "X06_amplifications": "amplification", "X07_fusions": "fusion", "X08_sexe": "sexe",
-    "X09_tumeur_lateralite": "tumeur_lateralite", "X10_evol_clinique": "evol_clinique", "X11_type_chirurgie": "type_chirurgie", "X12_classification_oms": "classification_oms", "X15_diag_histologique": "diag_histologique",
+    "X01_ihc": ("ihc", {0: {"ihc_idh1": "positif", "ihc_atrx": "maintenu", "ihc_p53": "negatif", "ihc_gfap": "positif", "ihc_olig2": "positif", "ihc_ki67": "10 a 15 %"}}),
+    "X02_molecular": ("molecular", {3: {"mol_idh1": "wt", "mol_idh2": "wt", "mol_tert": "mute", "mol_mgmt": "methyle"}}),
+    "X03_chromosomal": ("chromosomal", {3: {"ch7p": "gain", "ch10q": "perte", "ch10p": "perte", "ch1p": "perte", "ch19q": "perte"}}),
+    "X04_binary": ("binary", {
+        0: {"histo_necrose": "oui", "histo_pec": "oui"}, 1: {"ceph_hic": "non", "anti_epileptiques": "oui", "corticoides": "non"}, 2: {"progress_radiologique": "oui", "antecedent_tumoral": "oui"},
+        4: {"contraste_1er_symptome": "oui", "oedeme_1er_symptome": "oui", "calcif_1er_symptome": "non"},
+    }),
+    "X05_numerical": ("numerical", {0: {"histo_mitoses": "4", "ihc_ki67": "10 a 15", "grade": "3"}, 1: {"ik_clinique": "80"}, 2: {"chm_cycles": "6", "rx_dose": "60"}}),
+    "X06_amplifications": ("amplification", {3: {"ampli_egfr": "non", "ampli_cdk4": "oui"}}),
+    "X07_fusions": ("fusion", {3: {"fusion_fgfr": "non", "fusion_ntrk": "oui"}}),
+    "X08_sexe": ("sexe", {1: {"sexe": "F"}, 2: {"sexe": "M"}}),
+    "X09_tumeur_lateralite": ("tumeur_lateralite", {1: {"tumeur_lateralite": "gauche"}, 2: {"tumeur_lateralite": "droite"}, 4: {"tumeur_lateralite": "droite"}}),
+    "X10_evol_clinique": ("evol_clinique", {5: {"evol_clinique": "P2"}}),
+    "X11_type_chirurgie": ("type_chirurgie", {5: {"type_chirurgie": "exerese partielle"}}),
+    "X12_classification_oms": ("classification_oms", {0: {"classification_oms": "2021"}}),
+    "X13_chimios": ("chimios", {2: {"chimios": "temozolomide"}, 5: {"chimios": "bevacizumab + lomustine"}}),
+    "X14_tumeur_position": ("tumeur_position", {2: {"tumeur_position": "temporal"}}),
+    "X15_diag_histologique": ("diag_histologique", {0: {"diag_histologique": "astrocytome"}, 2: {"diag_histologique": "glioblastome"}}),
 }
 
 
-def _register(name: str, extractor: str) -> None:
-    @query(name, _oracle([extractor]))
-    def run(spark, sf_dir):
-        return extract.extract(reports(spark), [extractor]).select("doc_id", "field", "value", "confidence")
-
-
-for _name, _extractor in _NUMBERED.items():
-    _register(_name, _extractor)
-
-_LISTED = {"X13_chimios": ("chimios", [("r2", None), ("r3", "temozolomide"), ("r6", "bevacizumab + lomustine")]), "X14_tumeur_position": ("tumeur_position", [("r3", "temporal")])}
-
-
-def _register_list(name: str, extractor: str, expected: list) -> None:
-    @query(name, values([r for r in expected if r[1]], "doc_id, value"))
+def _register(name: str, extractor: str, facts: dict) -> None:
+    @query(name, expected(facts, "field, value"))
     def run(spark, sf_dir):
-        return extract.extract(reports(spark), [extractor]).select("doc_id", "value")
+        return extract.extract(seeded(spark, sf_dir), [extractor]).select("doc_id", "field", "value")
 
 
-for _name, (_extractor, _expected) in _LISTED.items():
-    _register_list(_name, _extractor, _expected)
+for _name, (_extractor, _facts) in _NUMBERED.items():
+    _register(_name, _extractor, _facts)
 
 
 @query("X16_rule_extraction")
 def rule_extraction(spark, sf_dir):
-    return extract.run_rules(classify.sections(reports(spark)))
+    docs = seeded(spark, sf_dir)
+    return extract.run_rules(docs, classify.sections(docs))
 
 
 _DATED = [("r1", "date_chir", "05/02/2024"), ("r2", "annee_de_naissance", "1961"), ("r2", "dn_date", "05/03/2024"), ("r5", "exam_radio_date_decouverte", "30/11/2022"), ("r6", "date_chir", "14/12/2022"), ("r6", "rx_date_debut", "14/12/2022"), ("r6", "date_progression", "01/01/2023")]
