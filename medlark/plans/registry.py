@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import annotation as _annotation  # noqa: F401
 from . import extraction as _extraction  # noqa: F401
 from . import ingest as _ingest  # noqa: F401
 from . import statistics as _statistics  # noqa: F401
