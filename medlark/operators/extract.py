@@ -7,6 +7,8 @@ confidence), exploded once. The first rule in order, then the earliest match, gi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,6 +159,42 @@ SECTIONS = {
 }
 
 
+@lru_cache(maxsize=None)
+def required(pattern: str) -> tuple[str, ...]:
+    """Texts of three characters or more one of which every match of a pattern holds; none if that can't be said."""
+
+    def of(items) -> set[str] | None:
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(value)
+                continue
+            if len(run) >= 3:
+                found.append({run})
+            before, run, inner = [(parser.LITERAL, ord(c)) for c in run], "", None
+            if op is parser.SUBPATTERN:
+                inner = of([*before, *value[-1]])
+            elif op is parser.BRANCH:  # the parser has taken what all branches begin with out of them
+                each = [of([*before, *b]) for b in value[1]]
+                inner = set().union(*each) if all(each) else None
+            elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT, parser.POSSESSIVE_REPEAT) and value[0] > 0:
+                inner = of(value[2])
+            if inner:
+                found.append(inner)
+        return min(found, key=lambda x: (len(x), -min(map(len, x)))) if found else None
+
+    return tuple(sorted(of(parser.parse(pattern)) or ()))
+
+
+def may_match(norm: Column, pattern: str) -> Column:
+    """A quick test that every match of a pattern passes: plain searches in place of a regular expression."""
+    words = required(pattern)
+    hit = norm.contains(words[0]) if words else F.lit(True)
+    for w in words[1:]:
+        hit = hit | norm.contains(w)
+    return hit
+
+
 def _match(norm: Column, rule: Rule, order: int) -> Column:
     at = F.regexp_instr(norm, F.lit(rule.pattern))
     span = F.regexp_extract(norm, rule.pattern, 0)
@@ -166,7 +204,7 @@ def _match(norm: Column, rule: Rule, order: int) -> Column:
         raw = F.regexp_replace(F.trim(F.regexp_extract(norm, rule.pattern, rule.group)), r"\s+", " ")
         value = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rule.spelled for x in kv]), raw), raw) if rule.spelled else raw
     return F.when(
-        (at > 0) & (span != ""), F.struct(F.lit(rule.field).alias("field"), value.alias("value"), span.alias("span"), (at - 1).alias("start"), F.lit(order).alias("ord"), F.lit(rule.confidence).alias("confidence"))
+        may_match(norm, rule.pattern) & (at > 0) & (span != ""), F.struct(F.lit(rule.field).alias("field"), value.alias("value"), span.alias("span"), (at - 1).alias("start"), F.lit(order).alias("ord"), F.lit(rule.confidence).alias("confidence"))
     )
 
 
@@ -175,7 +213,7 @@ def matches(norm: Column, extractor: str) -> Column:
     if extractor in LISTS:
         table, confidence = LISTS[extractor]
         word = {v: rf"\b(?:{p})\b" for v, p in table.items()}
-        found = F.array_compact(F.array(*[F.when(F.regexp_instr(norm, F.lit(p)) > 0, F.struct((F.regexp_instr(norm, F.lit(p)) - 1).alias("start"), F.lit(v).alias("value"), F.regexp_extract(norm, p, 0).alias("span"))) for v, p in word.items()]))
+        found = F.array_compact(F.array(*[F.when(may_match(norm, p) & (F.regexp_instr(norm, F.lit(p)) > 0), F.struct((F.regexp_instr(norm, F.lit(p)) - 1).alias("start"), F.lit(v).alias("value"), F.regexp_extract(norm, p, 0).alias("span"))) for v, p in word.items()]))
         ordered = F.array_sort(F.transform(found, lambda x: x["value"])) if extractor == "chimios" else F.transform(F.array_sort(found), lambda x: x["value"])
         first = F.array_min(found)
         whole = F.struct(F.lit(extractor).alias("field"), F.array_join(ordered, " + ").alias("value"), first["span"].alias("span"), first["start"].cast("int").alias("start"), F.lit(0).alias("ord"), F.lit(confidence).alias("confidence"))
@@ -262,7 +300,7 @@ def _dated() -> Column:
         near = lambda d, at: F.struct(F.abs(d["start"] - at).alias("gap"), d["start"].alias("start"), value(d).alias("value"), d["raw"].alias("raw"))  # noqa: B023, E731
         pairs = F.flatten(F.transform(found, lambda d: F.transform(positions(F.col(norm), pattern), lambda at: near(d, at))))  # noqa: B023
         best_of = F.array_min(F.filter(pairs, lambda x: x["gap"] <= (300 if f in _WIDE else 200)))  # noqa: B023
-        out.append(F.when((F.size(found) > 0) & F.col(norm).rlike(pattern), F.when(best_of.isNotNull(), F.struct(F.lit(f).alias("field"), best_of["value"].alias("value"), best_of["raw"].alias("raw"), best_of["start"].alias("start"), best_of["gap"].alias("gap")))))
+        out.append(F.when((F.size(found) > 0) & may_match(F.col(norm), pattern) & F.col(norm).rlike(pattern), F.when(best_of.isNotNull(), F.struct(F.lit(f).alias("field"), best_of["value"].alias("value"), best_of["raw"].alias("raw"), best_of["start"].alias("start"), best_of["gap"].alias("gap")))))
     return F.array_compact(F.array(*out))
 
 

@@ -53,14 +53,16 @@ def token_chunks(spark, sf_dir):
     return annotation.token_chunks(table(spark, sf_dir, "documents").select("doc_id", "text", none.alias("entities")), 180, 20).select("doc_id", "chunk")
 
 
-@query("T13_U05_augmented", "SELECT 'original' AS cohort, doc_id FROM documents UNION ALL SELECT 'augmented', doc_id FROM documents")
+@query("T13_U05_augmented", """WITH d AS (SELECT doc_id, left(coalesce(text, ''), 12) AS head FROM documents) SELECT 'original' AS cohort, doc_id, head FROM d UNION ALL SELECT 'augmented', doc_id, head FROM d""")
 def augmented(spark, sf_dir):
     """Originals with their augmented copies; an entity at the start of each text comes back whole."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     end = F.least(F.length("text"), F.lit(12))
     more = annotation.augmented(d.withColumn("entities", F.array(F.struct(F.lit(0).alias("start"), end.alias("end"), F.lit("x").alias("label")))))
     annotation.same_columns(d, more.drop("entities"))
-    return d.select(F.lit("original").alias("cohort"), "doc_id").unionByName(more.select(F.lit("augmented").alias("cohort"), "doc_id"))
+    e = F.col("entities")[0]
+    head = F.substring("text", e["start"] + 1, e["end"] - e["start"]).alias("head")
+    return d.select(F.lit("original").alias("cohort"), "doc_id", F.substring("text", F.lit(1), end).alias("head")).unionByName(more.select(F.lit("augmented").alias("cohort"), "doc_id", head))
 
 
 _REPAIRS = [

@@ -25,3 +25,19 @@ def test_nearest_cue_and_exact_start(spark):
     assert [(r.doc_id, r.field, r.value) for r in extract.keyword_dates(docs).collect()] == [(1, "date_chir", "03/04/2021")]
     got = {(r.doc_id, r.field): r for r in extract.run_rules(docs, classify.sections(docs)).collect()}
     assert got[2, "annee_de_naissance"].value == "1961" and got[2, "ihc_idh1"].start == 11
+
+
+def test_required_texts_are_in_every_match():
+    import re
+    import unicodedata
+
+    assert extract.required(r"(?:tumeur|lesion)\s+(?:du\s+)?lobe") == ("lobe",) and extract.required(r"\b(?:bst|biopsie)\b") == ("biopsie", "bst") and extract.required(r"\bik\s*:?\s*\d+") == ()
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    matched = 0
+    for rule in extract.RULES:
+        words = extract.required(rule.pattern)
+        for r in base.REPORTS:
+            for m in re.finditer(rule.pattern, fold(r[3])):
+                matched += 1
+                assert not words or any(w in m[0] for w in words), (rule, m[0])
+    assert matched > 40 and sum(bool(extract.required(r.pattern)) for r in extract.RULES) > 0.7 * len(extract.RULES)
