@@ -136,18 +136,26 @@ def full_year(c: Column) -> Column:
     return F.lpad(F.when(n < 50, n + 2000).when(n < 100, n + 1900).otherwise(n).cast("string"), 4, "0")
 
 
+def positions(text: Column, pattern: str) -> Column:
+    """Where each match of a pattern starts, from 0; linear in the text."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    steps = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["h"]).alias("h")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o"))
+    return F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["o"], F.array(s["at"] + x["g"])).alias("o")), lambda s: s["o"])
+
+
 def dates(text: Column) -> Column:
     """Array of struct(start, date, raw), by start: every date as dd/MM/yyyy, read in five forms."""
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     found = []
     for form, (pattern, (day, month, year)) in DATE_FORMS.items():
         got = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))  # noqa: B023, E731
-        gaps = F.split(text, pattern)
         one = F.transform(got(0), lambda _: F.lit("1"))
-        rows = F.arrays_zip(got(0).alias("raw"), (got(day) if day else one).alias("d"), (got(month) if month else one).alias("m"), got(year).alias("y"))
+        # starts are taken once, outside of the lambda, which would split the text again for every date
+        rows = F.arrays_zip(positions(text, pattern).alias("start"), got(0).alias("raw"), (got(day) if day else one).alias("d"), (got(month) if month else one).alias("m"), got(year).alias("y"))
         number = (lambda m: month_number(m)) if form in ("long", "short") else (lambda m: m.cast("int"))
-        start = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(got(0), F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))  # noqa: B023, E731
-        found.append(F.transform(rows, lambda r, i: F.struct(start(i).alias("start"), F.concat_ws("/", two(r["d"].cast("int")), two(number(r["m"])), full_year(r["y"])).alias("date"), r["raw"].alias("raw"))))  # noqa: B023
+        read = F.transform(rows, lambda r: F.struct(r["start"].alias("start"), F.concat_ws("/", two(r["d"].cast("int")), two(number(r["m"])), full_year(r["y"])).alias("date"), r["raw"].alias("raw")))  # noqa: B023
+        found.append(F.when(text.rlike(pattern), read).otherwise(F.array().cast("array<struct<start:int,date:string,raw:string>>")))
     return F.array_sort(F.concat(*found))
 
 

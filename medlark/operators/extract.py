@@ -13,7 +13,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlark.functions.text import dates, folded
+from medlark.functions.text import dates, folded, positions
 from medlark.operators.merge import best
 
 
@@ -246,7 +246,7 @@ def run_rules(docs: DataFrame, sections: DataFrame) -> DataFrame:
     parted = own.filter(F.col("section") != "full_text").select("doc_id").distinct()
     rest = docs.join(parted, "doc_id", "left_semi").select("doc_id", F.lit("*").alias("section"), F.lit(1 << 20).alias("position"), F.coalesce("text", F.lit("")).alias("text"))
     names = SECTIONS["full_text"].split()
-    rows = _with_dates(own.unionByName(rest))
+    rows = own.unionByName(rest)
     none = F.array().cast(_NONE)
     known = F.col("section").isin(list(SECTIONS))
 
@@ -255,6 +255,8 @@ def run_rules(docs: DataFrame, sections: DataFrame) -> DataFrame:
             return F.col("section").isin([s for s, x in SECTIONS.items() if "date" in x.split()]) | (~known & (F.col("section") != "*"))
         return F.col("section").isin([s for s, x in SECTIONS.items() if e in x.split()]) | ~known
 
+    rows = rows.withColumn("_norm", folded(F.col("text"))).withColumn("_dates", F.when(reads("date"), dates(F.col("text"))))
+
     def found(i: int, e: str) -> Column:
         hits = F.transform(_dated(), lambda d: F.struct(d["field"], d["value"], d["raw"].alias("span"), d["start"], F.lit(0).alias("ord"), F.lit(0.5).cast("double").alias("confidence"))) if e == "date" else matches(F.col("_norm"), e)
         got = F.when(reads(e), F.coalesce(hits.cast(_NONE), none)).otherwise(none)
@@ -277,19 +279,6 @@ _DATE_CUES = {
 _WIDE = ("date_deces", "dn_date", "exam_radio_date_decouverte", "date_progression", "annee_de_naissance")
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """Where each match of a pattern starts, from 0; linear in the text."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    steps = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["h"]).alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("o"))
-    return F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["o"], F.array(s["at"] + x["g"])).alias("o")), lambda s: s["o"])
-
-
-def _with_dates(rows: DataFrame) -> DataFrame:
-    """rows(text) with the folded text and its dates, each made once."""
-    return rows.withColumn("_norm", folded(F.col("text"))).withColumn("_dates", dates(F.col("text")))
-
-
 def _dated() -> Column:
     """array of struct(field, value, raw, start, gap): for each date field the date nearest to any of its cues."""
     found, norm = F.col("_dates"), "_norm"
@@ -307,5 +296,5 @@ def _dated() -> Column:
 def keyword_dates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, field, value: for each date field the date nearest to one of its cues, within
     200 characters (300 for a few fields); the year alone for the birth."""
-    rows = _with_dates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_norm", folded(F.col("text"))).withColumn("_dates", dates(F.col("text")))
     return rows.select("doc_id", F.explode_outer(_dated()).alias("_")).select("doc_id", "_.field", "_.value").filter("field is not null")

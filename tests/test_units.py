@@ -59,7 +59,7 @@ def test_empty_inputs(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     assert extract.extract(docs, ["ihc", "chimios"]).count() == 0
     assert classify.sections(docs).count() == 0
-    assert classify.classify(docs, classify.doc_keyword(spark)).count() == 0
+    assert classify.classify(docs).count() == 0
     assert corpus.summary(docs.withColumn("n", F.lit(1)), "n").first().n == 0
 
 
@@ -81,7 +81,7 @@ def test_pdf_readers_fall_back(spark, tmp_path):
 
 def test_rules_run_by_section(spark):
     docs = spark.createDataFrame([("d", "Immunohistochimie\nATRX : positif\nIDH1 : négatif\n\nConclusion\nATRX perdu, grade IV. OMS 2021.")], "doc_id string, text string")
-    got = {r.field: (r.section, r.value) for r in extract.run_rules(classify.sections(docs)).collect()}
+    got = {r.field: (r.section, r.value) for r in extract.run_rules(docs, classify.sections(docs)).collect()}
     assert got["ihc_idh1"] == ("ihc", "negatif")
     assert got["grade"] == ("conclusion", "4")
     assert got["classification_oms"] == ("conclusion", "2021")
