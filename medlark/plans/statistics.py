@@ -43,9 +43,9 @@ def spans(spark, sf_dir):
     return rows.groupBy(corpus.span_state(F.col("text"), F.col("a"), F.col("b")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("A16_cohort_comparison", f"WITH {_ENTITIES}, c AS (SELECT *, CASE WHEN doc_id::BIGINT % 3 = 0 THEN 'augmented' ELSE 'original' END AS cohort FROM entities) SELECT coalesce(cohort, 'extended') AS cohort, count(*) AS entities, count(DISTINCT doc_id) AS documents FROM c GROUP BY ROLLUP (cohort)")
+@query("A16_cohort_comparison", f"WITH {_ENTITIES}, c AS (SELECT *, CASE WHEN split_part(doc_id, '.', 1)::BIGINT % 3 = 0 THEN 'augmented' ELSE 'original' END AS cohort FROM entities) SELECT coalesce(cohort, 'extended') AS cohort, count(*) AS entities, count(DISTINCT doc_id) AS documents FROM c GROUP BY ROLLUP (cohort)")
 def cohorts(spark, sf_dir):
-    rows = _entities(spark, sf_dir).withColumn("cohort", F.when(F.col("doc_id").cast("long") % 3 == 0, "augmented").otherwise("original"))
+    rows = _entities(spark, sf_dir).withColumn("cohort", F.when(F.substring_index("doc_id", ".", 1).cast("long") % 3 == 0, "augmented").otherwise("original"))
     return rows.rollup("cohort").agg(F.count("*").alias("entities"), F.countDistinct("doc_id").alias("documents")).withColumn("cohort", F.coalesce("cohort", F.lit("extended")))
 
 
