@@ -45,7 +45,7 @@ def dense_grid(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    return timeline.epochs(timeline.ranked(timeline.grid(facts(spark, sf_dir)), *_dims(spark)))
+    return timeline.ranked(timeline.grid(facts(spark, sf_dir)), *_dims(spark))
 
 
 @query("W04_static_fold", f"WITH {_GRID} SELECT doc_id, field, {_STATIC} AS value FROM cells")
@@ -78,7 +78,7 @@ _NAMES = sorted(["tumeur_lateralite", "ik_clinique", "ihc_idh1", "date_chir", "g
 
 @query("timeline", f"WITH {_STATE} SELECT patient_id AS _patient_id, doc_id AS _document_id, doc_type AS _document_type, doc_date AS _document_date, " + ", ".join(f"max(CASE WHEN field = '{n}' THEN value END) AS {n}" for n in _NAMES) + " FROM state GROUP BY ALL")
 def timeline_wide(spark, sf_dir):
-    return timeline.wide(timeline.fold(facts(spark, sf_dir), *_dims(spark)), _NAMES)
+    return timeline.wide(facts(spark, sf_dir), _NAMES)
 
 
 _EVENTS = [
