@@ -153,8 +153,9 @@ _CAND = f"{FACTS_SQL}, cand AS (SELECT patient_id AS doc_id, field, value, score
 
 
 def _candidates(spark, sf_dir):
+    """Halves are rounded to even numbers, as DuckDB casts them."""
     f = facts(spark, sf_dir)
-    return f.select(F.col("patient_id").alias("doc_id"), "field", "value", "score", "seq", F.col("doc_id").alias("section"), (F.col("supplier") % 3).alias("ord"), (F.round("score").cast("long") % 1000).alias("start"), (F.col("supplier") % 2 == 0).alias("preferred"))
+    return f.select(F.col("patient_id").alias("doc_id"), "field", "value", "score", "seq", F.col("doc_id").alias("section"), (F.col("supplier") % 3).alias("ord"), (F.rint("score").cast("long") % 1000).alias("start"), (F.col("supplier") % 2 == 0).alias("preferred"))
 
 
 def _pick(order: str) -> str:
