@@ -41,3 +41,13 @@ def test_required_texts_are_in_every_match():
                 matched += 1
                 assert not words or any(w in m[0] for w in words), (rule, m[0])
     assert matched > 40 and sum(bool(extract.required(r.pattern)) for r in extract.RULES) > 0.7 * len(extract.RULES)
+
+
+def test_all_needed_texts_are_in_every_match():
+    import re
+
+    assert extract._needs(r"\bgene\s+(?:idh-?1)\s+sauvage", 2) == (("sauvage",), ("gene",), ("idh",)) and extract._needs(r"\bik\s*:?\s*\d+", 2) == (("ik",),)
+    text = " ".join(r[3].lower() for r in base.REPORTS).replace("é", "e").replace("è", "e").replace("ï", "i").replace("œ", "o")
+    for rule in extract.RULES:
+        for m in re.finditer(rule.pattern, text):
+            assert all(any(w in m[0] for w in words) for words in extract._needs(rule.pattern, 2)), (rule, m[0])
