@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from medlark.functions import similarity
 from medlark.operators import annotation, training_set, vocabulary
 
 ENTITIES = "array<struct<start:int,end:int,label:string>>"
@@ -82,3 +83,31 @@ def test_results_table_and_salt(tmp_path):
     path = f"{tmp_path}/salt"
     first = training_set.salt(path)
     assert len(first) >= 40 and training_set.salt(path) == first
+
+
+def test_surroundings_of_all_texts_are_scored_together(monkeypatch):
+    """As by partial_of, word by word and hit by hit, which is not called for them any more."""
+    random.seed(5)
+    fields = {f: vocabulary.FIELDS[f] for f in ("ihc_idh1", "ihc_atrx", "ch10q", "mol_mgmt", "ampli_met")}
+    terms = [w for t, c in fields.values() for w in [*t, *(x for y in c.values() for x in y)]]
+    texts = [" ".join(random.choice([*terms, "idh", "postif", "negtif d'", "é", "et de la"]) for _ in range(random.choice([0, 1, 4, 30]))) for _ in range(40)]
+
+    def one(text):
+        out = {}
+        for field, (names, categories) in fields.items():
+            for m in [m for t in names for m in (re.finditer(rf"(?<!\w){t}(?!\w)" if len(t) <= 3 else t, text))]:
+                around = text[max(0, m.start() - 80) : m.start()] + " " + text[m.end() : m.end() + 80]
+                scored = [(c, 100.0 if w in around else similarity.partial_of(w, around), min(15.0, len(w) / 3)) for c, words in categories.items() for w in words]
+                value, raw, _ = max([s for s in scored if s[1] >= 75] or [(None, 0.0, 0.0)], key=lambda s: s[1] + s[2])
+                if value and (field not in out or 30 + 0.7 * raw > out[field][3]):
+                    out[field] = (value, m.start(), m.end(), 0.3 * 100 + 0.7 * raw)
+        return out
+
+    want, plain = [one(t) for t in texts], similarity.partial_of
+    assert sum(map(len, want)) > 30
+    for w in ("absence d'expression", "perte", "x", "a" * 70):
+        assert list(similarity.partials_of(w, [*texts, w, "", w[1:]], 500)) == [plain(w, t) for t in (*texts, w, "", w[1:])]
+    calls = []
+    monkeypatch.setattr(vocabulary, "partial_of", lambda a, b: calls.append(b) or plain(a, b))
+    assert vocabulary.values_of(texts, fields, False) == want
+    assert not calls
