@@ -111,3 +111,19 @@ def test_surroundings_of_all_texts_are_scored_together(monkeypatch):
     monkeypatch.setattr(vocabulary, "partial_of", lambda a, b: calls.append(b) or plain(a, b))
     assert vocabulary.values_of(texts, fields, False) == want
     assert not calls
+
+
+def test_chunks_of_long_texts_are_linear(spark):
+    """Borders of words in texts of 400,000 and of one word, with characters of several bytes, in runs of any size."""
+    import time
+
+    import pyarrow as pa
+
+    texts = ["mot é 😀\t" * 133_333 + "fin", "", " ", "é", " deux mots "]
+    for most in (1, 1 << 23):
+        long, *rest = annotation._borders(pa.array(texts).slice(0), 1800, 200, most).to_pylist()
+        assert len(long) == 250 and long[1] == {"start": 1600 // 3 * 8 + 4, "end": (3400 // 3) * 8 + 4, "own": 1800 // 3 * 8} and long[-1]["end"] == len(texts[0])
+        assert rest == [[{"start": 0, "end": len(t), "own": 0}] for t in texts[1:]] == annotation._borders(pa.array(texts).slice(1), 1800, 200, most).to_pylist()
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id int, text string").withColumn("entities", F.array().cast(ENTITIES))
+    began = time.time()
+    assert annotation.token_chunks(docs).select("chunk").count() == 250 and time.time() - began < 20
