@@ -21,7 +21,8 @@ u AS (SELECT s, min(doc_id) AS doc_id FROM s WHERE len(s) > 0 GROUP BY s), e AS
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.85""")
 def near_duplicates(spark, sf_dir):
-    return ts.near_duplicates(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+    d = table(spark, sf_dir, "documents")
+    return ts.near_duplicates(d, signed=durable(ts.signatures(d))).withColumn("jaccard", F.round("jaccard", 6))
 
 
 _PAIRS = [("g1", "a", "x", 0.9, 1), ("g1", "a", "y", 0.8, 2), ("g1", "b", "x", 0.7, 3), ("g1", "b", "y", 0.6, 4), ("g2", "a", "x", 0.5, 1), ("g2", "b", "x", 0.5, 2)]
@@ -44,7 +45,8 @@ def membership(spark, sf_dir):
 def representatives(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     rate = d.select("doc_id", (1.0 - F.col("doc_id") % 7 / 10).alias("rate"))
-    return ts.representatives(ts.near_duplicates(d), ts.membership(d), rate, durable)
+    signed = durable(ts.signatures(d))  # texts are read once for them; classes and pairs both come from them
+    return ts.representatives(ts.near_duplicates(d, signed=signed), durable(ts.membership(d, signed=signed)), rate, durable)
 
 
 _JSON = [("<think>x</think>```json\n{\"a\": [1, 2,],}\n```", '{"a": [1, 2]}'), ("rien", None), ("ok {\"b\": 1} fin", '{"b": 1}')]
